@@ -7,8 +7,8 @@ class shares can't make a shared key, so it is dropped before keys are formed.
 
 Within a table's bucket nothing is paired with everything: members are compared with one centre, the class
 whose hashes are shared most (in a group of edited copies, the one they were copied from). Links are
-confirmed on full shingle sets. Then, as long as new links appear, buckets that still hold several components
-compare their members with the best class of each other component, where size and signature allow the similarity.
+confirmed on full shingle sets. Where a bucket still holds several components after that, its members go
+through an exact prefix-filter join across components, so no link inside a bucket is lost to the choice of centres.
 
 Chance that a pair of similarity s shares a table: (1 - (1 - s**ROWS)**SIDE)**2: 0.99993 at 0.85, more above.
 
@@ -36,9 +36,6 @@ SIDE, ROWS = 8, 2
 PERCENT = 85
 #: Members compared in one task with one centre.
 STAR_SIZE = 500
-#: In later rounds, pairs whose signatures agree in fewer of the 2 * SIDE * ROWS places are not compared:
-#: over four standard deviations below what a pair at the threshold has.
-MIN_AGREE = 19
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64)
@@ -65,17 +62,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.array([len(x) for x in sets], np.int64)
         full = np.flatnonzero(size)
         hashes: list = [None] * len(sets)
-        marks: list = [None] * len(sets)
         keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
         if len(full):
             m = min_hashes([sets[i] for i in full])
             joined = mix(m[:, 0::2] * U64(0x9FB21C651E98DF25) + m[:, 1::2]).view(np.int64)
-            low = (mix(m) & U64(255)).astype(np.uint8)
             for k, i in enumerate(full.tolist()):
-                hashes[i], marks[i] = joined[k], low[k].tobytes()
+                hashes[i] = joined[k]
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(size), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "hashes", "marks"],
+            [rows.column(0), pa.array(size), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "set_key", "hashes"],
         )
 
 
@@ -109,13 +104,45 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "u long, v long, shared long, union long")
 
 
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in text_pieces(batches, 1 << 20):
+        sets = shingle_sets(data, offsets)
+        size = np.array([len(x) for x in sets])
+        repeat = np.repeat(np.arange(len(sets)), size)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0).take(pa.array(repeat)), rows.column(1).take(pa.array(repeat)), pa.array(size[repeat]), pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64))],
+            names=["cls", "component", "n", "s"],
+        )
+
+
+def across_components(unsettled: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of unsettled (cls, component) rows in different components that can reach the similarity.
+
+    Prefix filter: with J(x, y) at the threshold, x and y share percent of either set at least, so among the
+    |x| - ceil(percent * |x|) + 1 shingles of x that fewest others hold, in one order for all, y has one in its
+    own such prefix. Shingles that nobody else holds match nothing, so a text with many edits has no pairs.
+    """
+    rows = unsettled.join(texts, unsettled["cls"] == texts["doc_id"]).select("cls", "component", "text")
+    held = materialize(rows.mapInArrow(_explode_sets, "cls long, component long, n long, s long"))
+    common = held.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "s")))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = held.join(common, "s").groupBy("cls", "component", "n").agg(order.alias("o")).select("cls", "component", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("i", "p"))
+    prefix = prefix.filter("p.df > 1").select("cls", "component", "n", "i", F.col("p.s").alias("s"))
+    other = prefix.withColumnsRenamed({"cls": "cls2", "component": "component2", "n": "n2", "i": "i2"})
+    pairs = prefix.join(other, "s").filter("cls < cls2 and component <> component2")
+    # What lies before the first shared shingle is not shared: enough must be left on either side.
+    pairs = pairs.filter(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+    return pairs.select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, hashes array<long>, marks binary"))
+    sets = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, hashes array<long>"))
     known = sets.filter("set_key is not null and doc_id is not null")
     first = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("cls")))
-    classes = known.join(first, "set_key").filter("doc_id = cls").select("cls", F.col("n_shingles").alias("n"), "hashes", "marks")
+    classes = known.join(first, "set_key").filter("doc_id = cls").select("cls", "hashes")
 
     cells = classes.select("cls", F.posexplode("hashes").alias("i", "h"))
     shared = cells.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -129,31 +156,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = materialize(keys.join(buckets, "key"))
     pairs = materialize(members.filter("u <> cls").select("u", F.col("cls").alias("v")).distinct())
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(ids, "doc_id", "left_semi"))
+    # The ids grow with the corpus: a merge join at every size.
+    texts = materialize(docs.hint("merge").join(ids, "doc_id", "left_semi"))
 
     tested = materialize(verified(pairs, texts))
-    alike = (F.col("shared") * 100 >= F.col("union") * percent)
+    alike = F.col("shared") * 100 >= F.col("union") * percent
     links = tested.filter(alike).select("u", "v")
-    while True:
+    groups = materialize(components(links))
+    placed = members.select("key", "cls").join(groups, members["cls"] == groups["node"], "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    unsettled = materialize(placed.join(mixed, "key", "left_semi").select("cls", "component").distinct())
+    more = across_components(unsettled, texts, percent)
+    done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = materialize(more.join(done, ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(verified(more, texts).filter(alike).select("u", "v"))
         groups = materialize(components(links))
-        placed = members.select("key", "cls", "score").join(groups, members["cls"] == groups["node"], "left").select("key", "cls", "score", F.coalesce("component", "cls").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        placed = materialize(placed.join(mixed, "key", "left_semi"))
-        heads = placed.groupBy("key", F.col("component").alias("other")).agg((-F.max(rank)["c"]).alias("u"))
-        more = placed.join(heads, "key").filter("component <> other").select(F.least("u", "cls").alias("u"), F.greatest("u", "cls").alias("v")).distinct()
-        done = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        more = more.join(done, ["u", "v"], "left_anti")
-        side = classes.select(F.col("cls").alias("id"), "n", "marks")
-        more = more.join(side.withColumnsRenamed({"id": "u", "n": "nu", "marks": "mu"}), "u").join(side.withColumnsRenamed({"id": "v", "n": "nv", "marks": "mv"}), "v")
-        agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(2 * SIDE * ROWS)), lambda i: F.substring("mu", i, F.lit(1)) == F.substring("mv", i, F.lit(1))))
-        more = materialize(more.filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).filter(agree >= MIN_AGREE).select("u", "v"))
-        if more.isEmpty():
-            break
-        fresh = materialize(verified(more, texts))
-        tested = tested.unionByName(fresh)
-        if fresh.filter(alike).isEmpty():
-            break
-        links = links.unionByName(fresh.filter(alike).select("u", "v"))
     of_class = first.join(groups, first["cls"] == groups["node"], "left").select("set_key", F.coalesce("component", "cls").alias("component"))
     out = sets.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
