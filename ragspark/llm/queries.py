@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
+from . import classifier, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,9 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op4_license_scan, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
