@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 #: White space between words.
 SPACE = r"[\x20\x09-\x0D]"
 #: A line with fewer words than this must end in a punctuation mark.
@@ -121,7 +123,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines that failed; same columns (n_chars, if there, follows the text)."""
     df, q = measure(docs)
-    df = df.filter(F.col(q)["kept"]).withColumn("text", F.col(q)["clean_text"])
+    kept = _free(docs, "_kept")
+    # Written before the filter: pushed down, the filter would compute every measure once more.
+    df = materialize(df.withColumn("text", F.col(q)["clean_text"]).withColumn(kept, F.col(q)["kept"]).drop(q)).filter(kept)
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
