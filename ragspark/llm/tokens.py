@@ -1,6 +1,7 @@
 """Token ids of whole texts by the tokenizers library, one encoding for each distinct word.
 
-A text is cut before every white-space run that follows a visible character; neither vocabulary has a
+A text is cut before every white-space run that follows a visible character, and before a full stop, comma or
+exclamation mark that follows an ASCII letter; neither vocabulary has a
 token across such a cut, so a text's ids are those of its pieces, one after another. Each worker encodes
 the distinct pieces it meets and keeps them; texts with other Unicode spaces or control characters (where
 the cut would not be safe) are encoded whole. Equality with whole-text encoding is tested.
@@ -13,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .kernels import BYTE_VALUES, IS_SPACE, prefix_hash, spans_hash
+from .kernels import BYTE_VALUES, IS_SPACE, LOWER_VALUES, prefix_hash, spans_hash
 
 #: Entries after which a worker's table is emptied: about 100 MB.
 CACHE_ENTRIES = 1_500_000
@@ -23,6 +24,10 @@ _SAFE = np.ones(256, bool)
 _SAFE[:32] = False
 _SAFE[[9, 10, 32]] = True
 _SAFE[127] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!")] = True
 
 
 class Encoder:
@@ -47,6 +52,8 @@ class Encoder:
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
         self.tokenizer.encode_special_tokens = True
+        # Where the vocabulary folds case, pieces that differ in ASCII case share an entry.
+        self.values = LOWER_VALUES if "Lowercase" in str(self.tokenizer.normalizer) else BYTE_VALUES
         self._clear()
 
     def _clear(self) -> None:
@@ -59,17 +66,14 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) > CACHE_ENTRIES:
-            self._clear()
         ids = self._whole(texts)
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for row in ids for x in row), np.uint16, int(count.sum()))
         start = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys = merged[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, start)
+        self.count = np.insert(self.count, at, count)
         self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +85,7 @@ class Encoder:
         space = IS_SPACE[data]
         cut = np.zeros(n, bool)
         cut[1:] = space[1:] & ~space[:-1]
+        cut[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
         cut[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
@@ -88,17 +93,16 @@ class Encoder:
         # Rows to encode whole: other control characters, or bytes that may begin another Unicode space.
         odd = ~_SAFE[data]
         odd[:-1] |= ((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))) | ((data[:-1] == 0xE2) & ((data[1:] == 0x80) | (data[1:] == 0x81))) | ((data[:-1] == 0xE1) & (data[1:] == 0x9A)) | ((data[:-1] == 0xE3) & (data[1:] == 0x80))
-        # The word vocabulary composes characters (NFC); a combining mark after a space would join it, and marks begin with CC, CD or E1-EF.
         whole_row = np.zeros(n_rows, bool)
         whole_row[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
         long_row = np.zeros(n_rows, bool)
         long_row[row[ends - starts > MAX_PIECE]] = True
         raw = data.tobytes()
-        keys = spans_hash(prefix_hash(data, BYTE_VALUES), starts, ends)
+        keys = spans_hash(prefix_hash(data, self.values), starts, ends)
         by_piece = ~whole_row[row]
         long_piece = by_piece & (ends - starts > MAX_PIECE)
         use = by_piece & ~long_piece
-        distinct, first = np.unique(keys[use], return_index=True)
+        distinct, first, inverse = np.unique(keys[use], return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         if len(self.keys):
@@ -117,7 +121,7 @@ class Encoder:
         extra_count = np.fromiter(map(len, extra_ids), np.int64, len(extra_ids))
         pool = np.concatenate([self.ids, np.fromiter((x for r in extra_ids for x in r), np.uint16, int(extra_count.sum()))]) if extra else self.ids
         extra_start = len(self.ids) + np.concatenate([[0], np.cumsum(extra_count)[:-1]]).astype(np.int64) if extra else np.zeros(0, np.int64)
-        place = np.searchsorted(self.keys, keys[use])
+        place = np.searchsorted(self.keys, distinct)[inverse]
         src, cnt = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         src[use], cnt[use] = self.start[place], self.count[place]
         k = len(extra_rows)
@@ -128,7 +132,7 @@ class Encoder:
         total = int(cnt.sum())
         out_start = np.concatenate([[0], np.cumsum(cnt)[:-1]])
         take = np.repeat(src - out_start, cnt) + np.arange(total)
-        np.add.at(counts, row, cnt)
+        counts = np.bincount(row, cnt, n_rows).astype(np.int64)
         return pool[take], counts
 
 
