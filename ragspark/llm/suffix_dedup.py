@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 CORE = LENGTH - MODULUS + 1
 #: One window in so many, chosen by its own bytes, ends a long string.
 SPAN_RATE = 32
+#: A text's marks come back from each bucket that has some, so small inputs use as many buckets as medium ones.
+MIN_BUCKETS = 64
 CORES, SPANS, WINDOWS, KEEPERS = 0, 1, 2, 3
 _KEY_BYTES = 7
 
@@ -65,13 +68,16 @@ def _bundles(kind: int, keys: np.ndarray, pos: np.ndarray, doc: np.ndarray, ids:
     new[1:] = k[1:] != k[:-1]
     alone = new.copy()
     alone[:-1] &= new[1:]
-    tied = np.sort(order[~alone])
-    _marks(kind, pos[tied], doc[tied], ids, out)
-    first = order[new]
-    again = ~alone[new]
-    bucket = (keys[first] >> U64(40)) % U64(buckets)
-    order = np.lexsort((pos[first], doc[first], bucket))
-    first, again, bucket = first[order], again[order], bucket[order].astype(np.int64)
+    tied = np.zeros(len(k), bool)
+    tied[order[~alone]] = True
+    _marks(kind, pos[tied], doc[tied], ids, buckets, out)
+    first = np.zeros(len(k), bool)
+    first[order[new]] = True
+    first = np.flatnonzero(first)  # in the order of text and position
+    bucket = ((keys[first] >> U64(40)) % U64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    first, bucket = first[order], bucket[order]
+    again = tied[first]
     ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
     a = 0
     for b in ends.tolist():
@@ -85,13 +91,13 @@ def _bundles(kind: int, keys: np.ndarray, pos: np.ndarray, doc: np.ndarray, ids:
         a = b
 
 
-def _marks(kind: int, pos: np.ndarray, doc: np.ndarray, ids: np.ndarray, out: list) -> None:
+def _marks(kind: int, pos: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int, out: list) -> None:
     """One row for each text: positions whose key occurs elsewhere."""
     if not len(pos):
         return
     heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, b in zip(heads.tolist(), np.append(heads[1:], len(doc)).tolist(), strict=True):
-        out.append((kind, -1, int(ids[doc[a]]), _planes(np.diff(pos[a:b], prepend=0), 4), None, None, None, None))
+        out.append((kind, int(ids[doc[a]]) % buckets, int(ids[doc[a]]), pos[a:b].astype("<u4").tobytes(), None, None, None, None))
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("step", pa.binary()), ("again", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
@@ -102,56 +108,53 @@ def _batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def _windows(prefix: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Hash of the ``length`` bytes from each position, before the final mix; there are n - length + 1."""
+def _span_ends(prefix: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, and their texts, of the 200-byte windows chosen by their own bytes."""
+    m = len(prefix) - LENGTH
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, ip = powers(len(prefix))
-    m = n - length + 1
-    return (prefix[length : length + m] - prefix[:m]) * ip[:m]
-
-
-def _inside(offsets: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte: its text, and its offset there; -1 where fewer than ``length`` bytes are left of the text."""
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(len(size)), size)
-    at = np.arange(n) - np.repeat(offsets[:-1], size)
-    return doc, np.where(at + length <= np.repeat(size, size), at, -1)
+    mark = ((prefix[LENGTH:] - prefix[:m]) * ip[:m] * U64(0x9FB21C651E98DF25)) >> U64(59)
+    ends = np.flatnonzero(mark < U64(32 // SPAN_RATE))
+    doc = np.searchsorted(offsets, ends, "right") - 1
+    whole = ends + LENGTH <= offsets[doc + 1]
+    return ends[whole], doc[whole]
 
 
 def _samples(buckets: int):
-    cover = np.zeros(MODULUS, bool)
-    cover[list(COVER)] = True
+    cover = np.array(COVER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_pieces(batches):
-            n, out = len(data), []
-            if n < CORE:
-                continue
+            out: list = []
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             prefix = prefix_hash(data, BYTE_VALUES)
-            doc, at = _inside(offsets, n, CORE)
-            where = np.flatnonzero((at >= 0) & cover[at % MODULUS])
-            _bundles(CORES, spans_hash(prefix, where, where + CORE), at[where], doc[where], ids, buckets, out)
-            if n >= LENGTH:
-                whole = _inside(offsets, n, LENGTH)[1][: n - LENGTH + 1] >= 0
-                ends = np.flatnonzero(whole & (_window_mark(prefix, n) == 0))
-                pair = np.flatnonzero(doc[ends[1:]] == doc[ends[:-1]])
-                a, b = ends[pair], ends[pair + 1]
-                _bundles(SPANS, spans_hash(prefix, a, b + LENGTH), at[a], doc[a], ids, buckets, out)
+            blocks = -(-np.diff(offsets) // MODULUS)
+            doc = np.repeat(np.arange(len(blocks)), blocks)
+            at = ((np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))[:, None] * MODULUS + cover).ravel()
+            doc = np.repeat(doc, len(cover))
+            where = offsets[doc] + at
+            whole = where + CORE <= offsets[doc + 1]
+            where, at, doc = where[whole], at[whole], doc[whole]
+            _bundles(CORES, spans_hash(prefix, where, where + CORE), at, doc, ids, buckets, out)
+            ends, doc = _span_ends(prefix, offsets)
+            pair = np.flatnonzero(doc[1:] == doc[:-1])
+            a, b, doc = ends[pair], ends[pair + 1], doc[pair]
+            _bundles(SPANS, spans_hash(prefix, a, b + LENGTH), a - offsets[doc], doc, ids, buckets, out)
             if out:
                 yield _batch(out)
 
     return run
 
 
-def _window_mark(prefix: np.ndarray, n: int) -> np.ndarray:
-    return mix(_windows(prefix, n, LENGTH)) >> U64(33) & U64(SPAN_RATE - 1)
-
-
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort the keys of this task's buckets, one bucket and kind at a time; equal neighbours are marked."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        found = batch.filter(pc.is_null(batch.column(7)))
+        if found.num_rows:
+            yield found
+        for row in batch.filter(pc.is_valid(batch.column(7))).to_pylist():
             if held and (row["bucket"], row["kind"]) != (held[0]["bucket"], held[0]["kind"]):
                 yield from _sorted(held)
                 held = []
@@ -189,62 +192,60 @@ def _sorted(held: list[dict]) -> Iterator[pa.RecordBatch]:
         steps = np.cumsum(_unplanes(row["step"], 4).astype(np.int64))
         heads = np.cumsum(counts) - counts
         pos = steps - np.repeat(np.where(heads > 0, steps[np.maximum(heads - 1, 0)], 0), counts)
-        _marks(row["kind"], pos[hit], doc[hit], ids, out)
-        _marks(KEEPERS, pos[keep], doc[keep], ids, out)
+        _marks(row["kind"], pos[hit], doc[hit], ids, 1, out)
+        _marks(KEEPERS, pos[keep], doc[keep], ids, 1, out)
         yield _batch(out)
 
 
 def _tied(rows: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, kind, pos) rows for all keys that occur twice or more."""
-    rows = materialize(rows)
-    sent = rows.filter("bucket >= 0").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    found = sent.mapInArrow(_sort_bucket, _DDL).unionByName(rows.filter("bucket < 0"))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("kind", F.col("keys").alias("pos"))).alias("marks"))
+    """(doc_id, marks): positions of all keys that occur twice or more."""
+    sent = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    return sent.mapInArrow(_sort_bucket, _DDL).groupBy("doc_id").agg(F.collect_list(F.struct("kind", F.col("keys").alias("pos"))).alias("marks"))
 
 
-def _positions(marks: list[dict] | None, kind: int) -> np.ndarray:
-    got = [np.cumsum(_unplanes(m["pos"], 4)).astype(np.int64) for m in marks or [] if m["kind"] == kind]
-    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
+class _Marks:
+    """The marks of all texts of a piece, as positions in the piece."""
 
+    def __init__(self, column: pa.Array, offsets: np.ndarray):
+        flat = column.flatten()
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(flat.field(1)).to_numpy(zero_copy_only=False) // 4
+        doc = np.repeat(np.repeat(np.arange(len(counts)), counts), size)
+        pos = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u4").astype(np.int64)
+        self.doc, self.at = doc, pos + offsets[doc]
+        self.kind = np.repeat(flat.field(0).to_numpy(zero_copy_only=False), size)
 
-def _cover_runs(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    def of(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.at[self.kind == kind], self.doc[self.kind == kind]
+
+
+def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """True inside any [start, end)."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, np.clip(starts, 0, n), 1)
-    np.add.at(change, np.clip(ends, 0, n), -1)
+    change = np.bincount(starts, minlength=n + 1).astype(np.int32) - np.bincount(ends, minlength=n + 1).astype(np.int32)
     return np.cumsum(change[:n]) > 0
 
 
-def _settled(data: np.ndarray, prefix: np.ndarray, marks: list[dict] | None, kind: int = SPANS) -> np.ndarray:
-    """Window starts of one text inside a tied long string (of the given kind of mark)."""
-    m = len(data) - LENGTH + 1
-    spans = _positions(marks, kind)
+def _settled(ends: np.ndarray, spans: np.ndarray, n: int) -> np.ndarray:
+    """Window starts inside long strings that begin at ``spans``."""
     if not len(spans):
-        return np.zeros(m, bool)
-    ends = np.flatnonzero(_window_mark(prefix, len(data)) == 0)
-    after = ends[np.searchsorted(ends, spans) + 1]
-    return _cover_runs(spans, after + 1, m)
+        return np.zeros(n, bool)
+    return _inside(spans, ends[np.searchsorted(ends, spans) + 1] + 1, n)
 
 
 def _leftover(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_pieces(batches):
-            ids = rows.column(0).to_numpy(zero_copy_only=False)
-            keys, pos, doc, out = [], [], [], []
-            for i, marks in enumerate(rows.column(2).to_pylist()):
-                own = data[offsets[i] : offsets[i + 1]]
-                m = len(own) - LENGTH + 1
-                if m <= 0:
-                    continue
-                prefix = prefix_hash(own, BYTE_VALUES)
-                cores = _positions(marks, CORES)
-                open_ = _cover_runs(cores - (MODULUS - 1), cores + 1, m) & (~_settled(own, prefix, marks) | _settled(own, prefix, marks, KEEPERS))
-                where = np.flatnonzero(open_)
-                keys.append(spans_hash(prefix, where, where + LENGTH))
-                pos.append(where)
-                doc.append(np.full(len(where), i))
-            if keys:
-                _bundles(WINDOWS, np.concatenate(keys), np.concatenate(pos), np.concatenate(doc), ids, buckets, out)
+            ids, n, out = rows.column(0).to_numpy(zero_copy_only=False), len(data), []
+            marks = _Marks(rows.column(2), offsets)
+            prefix = prefix_hash(data, BYTE_VALUES)
+            ends, _ = _span_ends(prefix, offsets)
+            cores, doc = marks.of(CORES)
+            candidate = _inside(np.maximum(cores - (MODULUS - 1), offsets[doc]), cores + 1, n)
+            last = np.diff(offsets) >= LENGTH
+            candidate &= _inside(offsets[:-1][last], offsets[1:][last] - (LENGTH - 1), n)
+            where = np.flatnonzero(candidate & (~_settled(ends, marks.of(SPANS)[0], n) | _settled(ends, marks.of(KEEPERS)[0], n)))
+            doc = np.searchsorted(offsets, where, "right") - 1
+            _bundles(WINDOWS, spans_hash(prefix, where, where + LENGTH), where - offsets[doc], doc, ids, buckets, out)
             if out:
                 yield _batch(out)
 
@@ -252,26 +253,23 @@ def _leftover(buckets: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """columns doc_id, text, sampled marks, window marks -> what is left of each text."""
+    """columns doc_id, text, marks of samples, marks of windows -> what is left of each text."""
     for rows, data, offsets in text_pieces(batches):
-        kept, removed, runs = [], [], []
-        for i, (marks, windows) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
-            own = data[offsets[i] : offsets[i + 1]]
-            n = len(own)
-            if n < LENGTH or not (marks or windows):
-                kept.append(own.tobytes())
-                removed.append(0)
-                runs.append(0)
-                continue
-            tied = _settled(own, prefix_hash(own, BYTE_VALUES), marks)
-            tied[_positions(windows, WINDOWS)] = True
-            starts = np.flatnonzero(tied)
-            gone = _cover_runs(starts, starts + LENGTH, n)
-            kept.append(own[~gone].tobytes())
-            removed.append(int(gone.sum()))
-            runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
+        n = len(data)
+        ends, _ = _span_ends(prefix_hash(data, BYTE_VALUES), offsets)
+        tied = _settled(ends, _Marks(rows.column(2), offsets).of(SPANS)[0], n)
+        tied[_Marks(rows.column(3), offsets).of(WINDOWS)[0]] = True
+        starts = np.flatnonzero(tied)
+        gone = _inside(starts, starts + LENGTH, n)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        begins[heads] = gone[heads]
+        runs = np.concatenate([[0], np.cumsum(begins)])
+        kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+            [rows.column(0), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(runs[offsets])), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
         )
 
@@ -279,7 +277,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes left), kept_sha256."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = max(MIN_BUCKETS, partitions(spark))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = materialize(_tied(docs.filter("doc_id is not null").mapInArrow(_samples(buckets), _DDL), buckets))
     release(spark)
