@@ -129,4 +129,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item; same columns."""
     leaks = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti").select(*docs.columns)
+    return docs.hint("merge").join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti").select(*docs.columns)

@@ -122,7 +122,8 @@ def deduplicated(docs: DataFrame, out: str = "_lines") -> DataFrame:
     """``docs`` with a struct column ``out`` of n_lines, n_dropped and the text that is left."""
     key = out + "_doc_id"
     maps = keep_bitmaps(docs).withColumnsRenamed({"doc_id": key, "keep": out + "_keep"})
-    joined = docs.join(maps, F.col("doc_id") == F.col(key), "left")
+    # The bitmaps grow with the corpus: a merge join at every size, never a broadcast.
+    joined = docs.hint("merge").join(maps, F.col("doc_id") == F.col(key), "left")
     return joined.withColumn(out, apply_bitmap("text", out + "_keep")).drop(key, out + "_keep")
 
 

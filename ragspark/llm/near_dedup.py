@@ -181,4 +181,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the smallest doc_id of their component; same columns."""
     gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    return docs.hint("merge").join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
