@@ -55,4 +55,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op4_license_scan, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": """
+with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
+l as (select doc_id, unnest(range(len(a))) as pos, unnest(a) as line from s),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+m as (select key, min(doc_id) as first_doc from k where length(key) >= 10 group by key)
+select doc_id, count(*) as n_lines, count(*) filter (first_doc <> doc_id) as n_dropped,
+sha256(coalesce(string_agg(line, chr(10) order by pos) filter (first_doc is null or first_doc = doc_id), '')) as kept_sha256
+from k left join m on k.key = m.key group by doc_id""",
+}
