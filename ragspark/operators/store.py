@@ -58,6 +58,40 @@ def version_hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def coerce_time(value: Column) -> Column:
+    """The timestamp of an ISO text, with Z or an offset or neither; null for any other text."""
+    iso = value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2})?)?$")
+    return F.when(iso, F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00")))
+
+
+def upsert_users(store: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """Conversations (user_id, messages, created_at, last_updated), the new ones replacing a user's old one.
+
+    Times come as text; one that is missing or can't be read becomes ``as_of``.
+    """
+    coerced = new.select("user_id", "messages", *[F.coalesce(coerce_time(F.col(c)), as_of).alias(c) for c in ("created_at", "last_updated")])
+    return replace_by_key(store, coerced, ["user_id"])
+
+
+def flatten_users(rows: DataFrame) -> DataFrame:
+    """(user_id, pos, item) of JSON objects ``payload`` keyed by user: a list gives a row an element, a dict or scalar one row."""
+    users = rows.select(F.explode(F.from_json("payload", "map<string,string>")).alias("user_id", "value"))
+    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    return users.select("user_id", F.posexplode(items).alias("pos", "item"))
+
+
+def full_refresh(store: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """The store with all rows of one ``type`` replaced by ``new``, which may be empty."""
+    return store.filter(~F.col("type").eqNullSafe(F.lit(kind))).unionByName(new.withColumn("type", F.lit(kind)), allowMissingColumns=True)
+
+
+def migrate_vectors(rows: DataFrame, dim: int, embed) -> DataFrame:
+    """Rows (text, embedding, ...) with ``embedding`` copied where it has ``dim`` numbers, else made anew from the text; ``copied`` tells which."""
+    fits = F.coalesce(F.size("embedding") == dim, F.lit(False))
+    made = F.when(fits, F.col("embedding").cast("array<double>")).otherwise(embed(F.col("text"), dim))
+    return rows.withColumn("copied", fits).withColumn("embedding", made)
+
+
 class SnapshotStore:
     """A table in versioned Parquet folders: readers keep the version they opened while a new one is written."""
 

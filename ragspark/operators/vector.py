@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scores are compared after rounding, so near ties rank alike everywhere; then the smaller id wins.
 DIGITS = 6
-#: Most queries scored in one pass over the store: they are held by every task.
+#: Queries scored in one pass over the store: every task holds them.
 MAX_QUERIES = 10_000
 
 
@@ -32,6 +35,12 @@ def top_k(store: DataFrame, query: list[float], k: int = 4, where: Column | None
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores; only those that reach the k-th are sorted."""
+    near = np.arange(len(scores)) if len(scores) <= k else np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
 def _block_scores(ids: np.ndarray, vectors: np.ndarray, k: int):
     norms = np.linalg.norm(vectors, axis=1)
 
@@ -42,7 +51,7 @@ def _block_scores(ids: np.ndarray, vectors: np.ndarray, k: int):
             scores = np.round(np.divide(x @ vectors.T, scale, out=np.zeros_like(scale), where=scale > 0), DIGITS)
             vec = batch.column(0).to_numpy(zero_copy_only=False)
             # Candidates of this block only; ties at the edge are kept by the total order (score, id).
-            best = np.stack([np.lexsort((vec, -scores[:, j]))[:k] for j in range(len(ids))], axis=1)
+            best = np.stack([_best(scores[:, j], vec, k) for j in range(len(ids))], axis=1)
             q = np.broadcast_to(np.arange(len(ids)), best.shape).ravel()
             rows = best.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[rows]), pa.array(scores[rows, q])], names=["qid", "vec_id", "score"])
@@ -51,24 +60,39 @@ def _block_scores(ids: np.ndarray, vectors: np.ndarray, k: int):
 
 
 def batch_top_k(store: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """(qid, vec_id, score, rank): the k best rows for each of a bounded set of queries (qid, embedding).
+    """(qid, vec_id, score, rank): the k best rows for each query (qid, embedding).
 
-    The store is never shuffled: a block of it is multiplied with all query vectors at once, each block passes on
-    its own k best, and only those meet. More than MAX_QUERIES are refused; split them.
+    The store is never shuffled: a block of it is multiplied with all vectors of a block of queries at once, each
+    passes on its own k best, and only those meet. Queries beyond MAX_QUERIES take further passes over the store.
     """
-    got = queries.select("qid", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(got) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    if not got:
-        return store.sparkSession.createDataFrame([], "qid long, vec_id long, score double, rank int")
-    ids = np.array([r["qid"] for r in got], np.int64)
-    vectors = np.array([r["embedding"] for r in got], np.float64)
-    rows = store.filter(F.size("embedding") == vectors.shape[1]).select(F.col("vec_id").cast("long"), "embedding")
-    scored = rows.mapInArrow(_block_scores(ids, vectors, k), "qid long, vec_id long, score double")
+    passes = -(-queries.count() // (MAX_QUERIES // 2))
+    scored = store.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
+    for i in range(passes):
+        got = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).select(F.col("qid").cast("long").alias("qid"), "embedding").collect()  # about MAX_QUERIES / 2
+        if got:
+            ids = np.array([r["qid"] for r in got], np.int64)
+            vectors = np.array([r["embedding"] for r in got], np.float64)
+            rows = store.filter(F.size("embedding") == vectors.shape[1]).select(F.col("vec_id").cast("long"), "embedding")
+            scored = scored.unionByName(rows.mapInArrow(_block_scores(ids, vectors, k), "qid long, vec_id long, score double"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def embed_hashing(text: Column, dim: int) -> Column:
+    """A unit vector of word counts hashed into ``dim`` places; zeros for a null or blank text. No model is needed."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> np.ndarray:
+            places = [zlib.crc32(w.encode()) % dim for w in (t or "").lower().split()]
+            v = np.bincount(np.array(places, np.int64), minlength=dim).astype(np.float64)
+            return v / max(np.linalg.norm(v), 1e-300)
+
+        return texts.map(one)
+
+    return embed(text)
+
+
 def stats(store: DataFrame) -> DataFrame:
     return store.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).cast("long").alias("dim"), F.count_if(F.col("embedding").isNull()).alias("n_missing"))
 

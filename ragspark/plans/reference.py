@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragspark.operators import conversation, crawl, feedback, retrieval, store, text, vector
-from ragspark.sources import files
+from ragspark.operators import conversation, crawl, feedback, lookup, retrieval, store, text, vector
+from ragspark.sources import files, paged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,14 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- vector search
 
 _HITS = """
-q as (select vec_id as qid, embedding::double[] as qe from embeddings where vec_id < 5),
+q as (select vec_id as qid, embedding::double[] as qe from embeddings where vec_id % 20 = 0),
 s as (select qid, vec_id, round(list_cosine_similarity(embedding::double[], qe), 6) as score from embeddings, q),
 hits as (select * from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s) where rank <= 25)"""
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vector.batch_top_k(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), "embedding"))
+    return vector.batch_top_k(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"))
 
 
 def _hit_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -438,9 +438,9 @@ def cur_messages_json(spark, d):
 
 # --- aggregates, monitors and joins
 
-@query("select lang, count(*) as n, sum(length(text)) as chars from documents where source = 'src0' group by lang")
+@query("select lang, count(*) as n, sum(length(text)) as chars from documents group by lang")
 def agg_file_types(spark, d):
-    return table(spark, d, "documents").filter("source = 'src0'").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("select count(*) as n, round(avg(l_quantity), 4) as mean, min(l_quantity) as lo, max(l_quantity) as hi from lineitem")
@@ -506,3 +506,115 @@ def html_to_text(spark, d):
 @query()
 def html_tables(spark, d):
     return table(spark, d, "pages").select("page_id", F.to_json(text.to_tables("html")).alias("tables"), F.to_json(text.to_faqs("html")).alias("faqs"))
+
+
+# --- lookups, listings and migrations
+
+_PAGES = r"""pg as (select page_id as pos, url, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) as name, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)"""
+_PATHS = ["/fr/825", "en/25.aspx", "%65n/685", "By_the_was", "no such page at all"]
+
+
+def _page_list(spark, d):
+    name, title = F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", name.alias("name"), title.alias("title"))
+
+
+@query(f"""with {_PAGES}, t as (select unnest({_PATHS}) as path), p as (select *, url_decode(trim(path, '/')) as whole, url_decode(regexp_extract(trim(path, '/'), '[^/]*$')) as file from t),
+q as (select *, lower(replace(file, '.aspx', '')) as stem, replace(replace(lower(replace(file, '.aspx', '')), ' ', ''), '_', '') as flat from p),
+hits as (select path, pos, url, row_number() over (partition by path order by pos) as n from pg, q where contains(lower(url_decode(url)), lower(whole)) or (name <> '' and (lower(file) = lower(name) or stem = lower(replace(name, '.aspx', ''))))
+ or (title <> '' and (contains(flat, replace(lower(title), ' ', '')) or contains(replace(lower(title), ' ', ''), flat)))) select path, pos, url from hits where n = 1""")
+def ext_page_lookup(spark, d):
+    return lookup.page_lookup(_page_list(spark, d), _PATHS)
+
+
+@query(r"""select page_id, 'https://api.example/sites/' || regexp_extract(url, '://([^/?#]*)', 1) || ':/sites/' || regexp_extract(url, '://[^/?#]*/([^/?#]+)', 1) as address from pages""")
+def ext_site_address(spark, d):
+    page = F.regexp_replace("url", r"^([^:]+://[^/?#]*)/", "$1/sites/")
+    return table(spark, d, "pages").select("page_id", lookup.site_address(page, "https://api.example/sites/").alias("address"))
+
+
+_TARGETS = ["MIT License", "SRC3", "the", "nobody writes this"]
+
+
+@query(f"""with t as (select unnest({_TARGETS}) as target), r as (select target, doc_id, length(coalesce(text, ''))::bigint as n_chars, row_number() over (partition by target order by doc_id) as n from documents, t
+where contains(lower(source), lower(target)) or contains(substring(lower(text), 1, 500), lower(target))) select target, doc_id, n_chars, n_chars < 200 as is_short from r where n = 1""")
+def join_theta_first_match(spark, d):
+    return lookup.first_mention(table(spark, d, "documents"), _TARGETS, "source")
+
+
+@query("select c_custkey as user_id, o_orderkey as meeting_id, l_linenumber as part, l_returnflag as content from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey where l_returnflag <> ''")
+def src_nested_listing(spark, d):
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    meetings = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("meeting_id"))
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), F.col("l_linenumber").alias("part"), F.col("l_returnflag").alias("content"))
+    return lookup.enumerate_nested(users, meetings, parts).select("user_id", "meeting_id", "part", "content")
+
+
+_FILES = "fs as (select doc_id, 'meeting ' || doc_id || case when doc_id % 3 = 0 then '.VTT' when doc_id % 3 = 1 then '.docx' else '.mp4' end as name, lang from documents)"
+
+
+def _recordings(spark, d):
+    ending = F.when(F.col("doc_id") % 3 == 0, ".VTT").when(F.col("doc_id") % 3 == 1, ".docx").otherwise(".mp4")
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("meeting "), F.col("doc_id").cast("string"), ending).alias("name"), "lang")
+
+
+@query(f"with {_FILES} select doc_id, name from fs where name like '%.VTT' and lang = 'en' union all select doc_id, name from fs where name like '%.VTT'")
+def src_search_fallbacks(spark, d):
+    f = _recordings(spark, d)
+    return lookup.by_suffix([f.filter("lang = 'en'"), lookup.first_nonempty([f.filter("lang = 'none'"), f])], [".vtt"]).select("doc_id", "name")
+
+
+@query(f"with {_FILES} select doc_id, name from fs where name like '%.VTT' or name like '%.docx' order by name limit 3")
+def src_recordings_first3(spark, d):
+    return lookup.by_suffix([_recordings(spark, d)], [".vtt", ".docx"], 3).select("doc_id", "name")
+
+
+@query("select * from (values (1::bigint, 0, 'a1'), (1, 1, 'b1'), (2, 0, 'a2'), (2, 1, 'b2')) t(page, pos, item)")
+def src_paged_items(spark, d):
+    answers = {1: '["a1","b1"]', 2: '["a2","b2"]', 3: "[]", 4: '["never read"]'}
+    return paged.items_of_pages(paged.fetch_pages(spark, answers.__getitem__, 1, 5))
+
+
+@query("select * from (values (1, 'p/1', 'x'), (2, 'p/2', 'y'), (3, 'p/3', 'z')) t(n, address, payload)")
+def src_next_links(spark, d):
+    pages = [("p/2", "y", "p/3"), ("p/1", "x", "p/2"), ("p/9", "stray", None), ("p/3", "z", "p/1")]
+    return paged.follow_links(spark.createDataFrame(pages, "address string, payload string, next string"), "p/1")
+
+
+@query("""with s as (select conv_id as user_id, count(*) as messages from conversations group by 1),
+n as (select doc_id as user_id, n_chars as messages, case when doc_id % 3 = 0 then timestamp '2024-01-02 03:04:05' else timestamp '2024-01-31' end as created_at from documents where lang = 'en')
+select user_id, messages, created_at from n union all select user_id, messages, null from s where user_id not in (select user_id from n)""")
+def snk_upsert_users(spark, d):
+    none = F.lit(None).cast("timestamp")
+    old = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("user_id")).agg(F.count(F.lit(1)).alias("messages")).select("user_id", "messages", none.alias("created_at"), none.alias("last_updated"))
+    when = F.when(F.col("doc_id") % 3 == 0, "2024-01-02T03:04:05").when(F.col("doc_id") % 3 == 1, "yesterday")
+    new = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("user_id"), F.col("n_chars").alias("messages"), when.alias("created_at"), when.alias("last_updated"))
+    return store.upsert_users(old, new, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("user_id", "messages", "created_at")
+
+
+@query("select doc_id, lang as type, source as item from documents where lang <> 'de' union all select doc_id, 'de', 'user' || doc_id from labels")
+def snk_full_refresh(spark, d):
+    old = table(spark, d, "documents").select("doc_id", F.col("lang").alias("type"), F.col("source").alias("item"))
+    new = table(spark, d, "labels").select("doc_id", F.concat(F.lit("user"), F.col("doc_id").cast("string")).alias("item"))
+    return store.full_refresh(old, new, "de")
+
+
+@query("""select * from (values ('u1', 0, 'a'), ('u1', 1, '{"q":1}'), ('u2', 0, '{"k":"v"}'), ('u3', 0, '7')) t(user_id, pos, item)""")
+def snk_flatten_users(spark, d):
+    return store.flatten_users(spark.createDataFrame([('{"u1":["a",{"q":1}],"u2":{"k":"v"},"u3":7}',)], "payload string"))
+
+
+@query("""select label, count(*) as n, count(*) filter (label <> 3) as n_copied, count(*) filter (label = 3) as n_made, count(*) filter (label = 3 and doc_id is null) as n_blank
+from embeddings left join documents on vec_id = doc_id group by label""")
+def snk_migrate_vectors(spark, d):
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents").select("doc_id", "text")
+    rows = e.withColumn("embedding", F.when(F.col("label") != 3, F.col("embedding"))).join(docs, e["vec_id"] == docs["doc_id"], "left")
+    made = store.migrate_vectors(rows, 64, vector.embed_hashing)
+    zero = F.forall("embedding", lambda x: x == 0)
+    return made.groupBy("label").agg(F.count_if(F.size("embedding") == 64).alias("n"), F.count_if("copied").alias("n_copied"), F.count_if(~F.col("copied")).alias("n_made"), F.count_if(~F.col("copied") & zero).alias("n_blank"))
+
+
+@query("select doc_id, case when text is null or trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' then 0.0 else 1.0 end as norm from documents")
+def embed_hashing(spark, d):
+    e = table(spark, d, "documents").select("doc_id", vector.embed_hashing(F.col("text"), 64).alias("v"))
+    return e.select("doc_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
