@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUES, U64, mix, prefix_hash, spans_hash, text_pieces, word_spans
+from .scratch import partitions
 
 BUCKETS, DIM, NONZERO = 1 << 13, 32, 2
 CHUNKS = 16
@@ -78,7 +79,11 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of unit vectors: BUCKETS rows of words, then BUCKETS rows of shapes. 2 MB for any corpus."""
-    sums = docs.select("text").mapInArrow(_contexts, "chunk int, sums binary").repartitionById(CHUNKS, F.col("chunk")).mapInArrow(_add_up, "chunk int, sums binary")
+    schema, groups = "chunk int, sums binary", partitions(docs.sparkSession)
+    parts = docs.select("text").mapInArrow(_contexts, schema)
+    # In two levels, so that no task reads the table of every scan task: first one sum a chunk and group of tasks.
+    parts = parts.repartition(groups, "chunk", F.spark_partition_id() % groups).mapInArrow(_add_up, schema)
+    sums = parts.repartitionById(CHUNKS, F.col("chunk")).mapInArrow(_add_up, schema)
     table = np.zeros((CHUNKS, 2 * BUCKETS * DIM // CHUNKS))
     for r in sums.collect():
         table[r["chunk"]] = np.frombuffer(r["sums"])
