@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import text_pieces
-from .scratch import materialize, partitions
+from .scratch import materialize
 from .tokens import Encoder
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Tasks that the documents of one length are ranked in. The offsets of (length, salt) groups are broadcast: capacity * SALTS
+#: rows at most, 131,072 of 16 bytes, whatever the corpus and the cluster.
+SALTS = 64
 #: Nodes looked at for one filling, and for the last items.
 FILL_NODES, TAIL_NODES, TAIL_ITEMS = 3000, 20000, 48
 
@@ -160,8 +163,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     encoded = materialize(docs.select("doc_id", "text").mapInArrow(_encode(vocabulary, capacity, end_id), f"doc_id {kind}, n_tokens long, crcs array<long>"))
-    salts = max(8, partitions(spark))
-    items = encoded.withColumn("len", ((F.col("n_tokens") - 1) % capacity + 1).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    items = encoded.withColumn("len", ((F.col("n_tokens") - 1) % capacity + 1).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     counts = items.groupBy("len", "salt").agg(F.count(F.lit(1)).alias("n"))
     # capacity rows at most
     histogram = {r["len"]: r["n"] for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}
@@ -178,7 +180,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("len").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("len", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = items.withColumn("r", F.row_number().over(Window.partitionBy("len", "salt").orderBy("doc_id", "crcs")) - 1)
-    # Both tables are bounded by the capacity (times the salts), not by the corpus.
+    # Both tables are bounded by the capacity (times SALTS), not by the corpus.
     ranked = ranked.join(F.broadcast(before), ["len", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
     placed = ranked.join(F.broadcast(places), "len").filter("rank >= lo and rank < hi")
     within = F.col("rank") - F.col("lo")
