@@ -5,10 +5,11 @@ weighted 5-word shingles (weight: letters and digits in it). Items' fingerprints
 fingerprints within RADIUS bits agree in one block at least, so the join on (length, block, value) finds all of
 them. Those pairs are verified by the exact weighted similarity 2 * shared / (window + item) of shingle sets.
 
-Which windows are cut is decided without loss: a window that reaches the similarity shares more than
+Which documents are cut is decided without loss: a window that reaches the similarity shares more than
 2/3 of the item's weight, so it holds one of any shingles that weigh over 1/3 of the item together. Those seeds are
 looked up in one pass over the documents; only documents with a hit are read again. Windows start where a
-seed puts the item's first word, so an inserted or lost word gives one more window, not a miss.
+seed puts the item's first word, so an inserted or lost word gives one more window. The very best window need not be
+among them: a copy just above the similarity, with words inserted or lost, can be missed.
 
 Defined cases: null or blank texts and items match nothing; an item (and a window) of fewer than five words has
 one shingle, the whole sequence; a document shorter than the item is one window; equal rows and
