@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ragspark.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from ragspark.llm.scratch import materialize
 
+#: Word shingles alike from this share on are near duplicates in a corpus; op5 has its own contract.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and so do the failed lines of the others."""
@@ -22,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return near_dedup.near_dedup(docs)
+    """One document of each group stays. A pair at the similarity shares a table with probability 0.9994."""
+    return near_dedup.near_dedup(docs, percent=NEAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
