@@ -27,7 +27,7 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.all_templates())
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ import zlib
 import numpy as np
 import pytest
 
-from ragspark.llm import classifier, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
+from ragspark.llm import classifier, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, queries, sharding, suffix_dedup, wavelet
 from ragspark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = np.random.default_rng(3)
+WORDS = re.compile(r"[a-z0-9]+")
 VOCAB = ["w" + "".join(rng.choice(list("abcdefghé"), 5)) for _ in range(400)]
 
 
@@ -237,6 +238,33 @@ def test_license_scan_is_exact(spark):
     assert want <= got
 
 
+def test_license_scan_finds_every_license_line(spark):
+    """Against plain search for the five licence lines of the table, in both directions."""
+    sf = "/root/testdata/sf0.01"
+    names = {"MIT": license_scan.TEMPLATES["MIT"], "Apache-2.0": license_scan.TEMPLATES["Apache-2.0"], "GPL-3.0": license_scan.TEMPLATES["GPL-3.0"], "CC-BY-NC-4.0": license_scan.TEMPLATES["CC-BY-NC-4.0"], "All-rights-reserved": "All rights reserved."}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {(i, k) for i, t in texts.items() for k, x in names.items() if x in (t or "")}
+    got = {(r.doc_id, r.license) for r in queries.op4_license_scan(spark, sf).collect()}
+    assert want == {(i, k) for i, k in got if k in names} and {k for _, k in want} == set(names)
+
+
+def test_license_scan_finds_every_template(spark):
+    templates = license_scan.all_templates()
+    short = {k for k, x in templates.items() if len(re.findall(r"[A-Za-z0-9]+", x)) < 5}
+    assert "All-rights-reserved" in short and "GPL-3-text" in templates
+    rows = [(i, f"{prose(30, i)}\n{x}\n{prose(40, i)}") for i, x in enumerate(templates.values())]
+    # Every thirtieth word of a longer template is lost: five of thirty shingles.
+    rows += [(1000 + i, " ".join(w for j, w in enumerate(x.split()) if j % 30 != 29)) for i, (k, x) in enumerate(templates.items()) if k.endswith("-text")]
+    rows += [(2000, "all rights"), (2001, "All rights not reserved."), (2002, "All rights\nRESERVED")]
+    got = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), templates).collect()}
+    for i, k in enumerate(templates):
+        assert got[i, k].containment == 1.0 and (k not in short or got[i, k].start_word == 30)
+        inside = {x for x, y in templates.items() if " ".join(["", *WORDS.findall(y.lower()), ""]) in " ".join(["", *WORDS.findall(templates[k].lower()), ""])}
+        assert k.endswith("-text") or {x for d, x in got if d == i} == inside
+        assert not k.endswith("-text") or any(d >= 1000 and x == k for d, x in got)
+    assert {k for k in got if k[0] >= 2000} == {(2002, "All-rights-reserved")}
+
+
 def test_classifier(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
