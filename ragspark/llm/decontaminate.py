@@ -5,11 +5,11 @@ weighted 5-word shingles (weight: letters and digits in it). Items' fingerprints
 fingerprints within RADIUS bits agree in one block at least, so the join on (length, block, value) finds all of
 them. Those pairs are verified by the exact weighted similarity 2 * shared / (window + item) of shingle sets.
 
-Which documents are cut is decided without loss: a window that reaches the similarity shares more than
+Which windows are cut is decided without loss: a window that reaches the similarity shares more than
 2/3 of the item's weight, so it holds one of any shingles that weigh over 1/3 of the item together. Those seeds are
-looked up in one pass over the documents; only documents with a hit are read again. Windows start where a
-seed puts the item's first word, so an inserted or lost word gives one more window. The very best window need not be
-among them: a copy just above the similarity, with words inserted or lost, can be missed.
+looked up in one pass over the documents; only documents with a hit are read again. There every window that holds a
+seed is tried, whatever its start, and cut if the item's shingles in it weigh those 2/3. Insertions, losses and
+changes of order therefore lose nothing; what can be missed is a pair beyond RADIUS.
 
 Defined cases: null or blank texts and items match nothing; an item (and a window) of fewer than five words has
 one shingle, the whole sequence; a document shorter than the item is one window; equal rows and
@@ -87,6 +87,25 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def _cuts(held: DataFrame, items: DataFrame, n_items: int, similarity: float) -> DataFrame:
+    """(doc_id, n, width, start) of the windows that hold a seed of an item and enough weight of the item's shingles.
+
+    A shingle counts each time it occurs, so the weight is the shared one at least.
+    """
+    own = items.select("item_id", "n", "weight", F.map_from_entries("s").alias("own"))
+    rows = held.select("doc_id", "w", F.explode("places").alias("p")).select("doc_id", "w", "p.*").join(_small(own, n_items), ["item_id", "n"])
+    # A window of fewer than five words starts at its only shingle.
+    short = rows.filter(F.col("width") < SHINGLE).select("doc_id", "n", "width", F.explode("at").alias("start"))
+    weights = F.transform(shingle_hashes("w", SHINGLE), lambda h: F.coalesce(F.try_element_at("own", h), F.lit(0)))
+    rows = materialize(rows.filter(F.col("width") == SHINGLE).select("doc_id", "n", "width", "at", "weight", F.size("w").alias("size"), weights.alias("m")))
+    around = f"sequence(greatest(0, p - n + {SHINGLE}), greatest(0, least(p, size - n)))"
+    starts = F.expr(f"array_distinct(flatten(transform(at, p -> {around})))")
+    shared = f"aggregate(slice(m, x + 1, n - {SHINGLE - 1}), 0L, (t, v) -> t + v)"
+    enough = F.expr(f"filter(starts, x -> {shared} * {2 - similarity!r} >= {similarity!r} * weight - 1e-6)")
+    rows = materialize(rows.withColumn("starts", starts)).select("doc_id", "n", "width", F.explode(enough).alias("start"))
+    return short.unionByName(rows)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): the best window of each document and item that match."""
     items = materialize(materialize(items_of(benchmark)).dropDuplicates(["item_id", "fp", "n", "weight"]))
@@ -103,15 +122,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         seeds = own.withColumn("c", chosen).select("item_id", "n", "c", F.posexplode("g").alias("at", "h")).filter(F.array_contains("c", F.col("h"))).select("item_id", "n", "at", "h")
         found = docs.select("doc_id", words_of(F.col("text")).alias("w")).withColumn("g", shingle_hashes("w", width)).select("doc_id", F.size("w").alias("size"), F.posexplode_outer("g").alias("pos", "h"))  # outer: else Spark infers size(g) > 0 and computes g once more, below
         found = found.join(_small(seeds, count), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
-        found = found.select("doc_id", "n", F.lit(width).alias("width"), start.cast("int").alias("start"))
+        found = found.select("doc_id", "item_id", "n", F.lit(width).alias("width"), "pos")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = docs.select("doc_id", F.lit(0).alias("n"), F.lit(1).alias("width"), F.lit(0).alias("start")).filter("false")
-    cuts = materialize(hits.distinct())
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("n", "width", "start")).alias("cuts"))
+        hits = docs.select("doc_id", F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n"), F.lit(1).alias("width"), F.lit(0).alias("pos")).filter("false")
+    places = hits.groupBy("doc_id", "item_id", "n", "width").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "width", "at")).alias("places"))
     # Documents with hits grow with the corpus: a merge join at every size.
-    windows = docs.hint("merge").join(cuts, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "cuts")
+    held = materialize(docs.hint("merge").join(places, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "places"))
+    cuts = materialize(_cuts(held, items, n_items, similarity).distinct()).groupBy("doc_id").agg(F.collect_list(F.struct("n", "width", "start")).alias("cuts"))
+    windows = held.select("doc_id", "w").hint("merge").join(cuts, "doc_id")
     windows = windows.select("doc_id", "w", F.explode("cuts").alias("c")).select("doc_id", "w", "c.*").withColumn("s", _weighted("w", "start", "n", "width")).drop("w")
     windows = materialize(windows.select("doc_id", "n", "start", "s"))
     windows = materialize(windows.filter(F.size("s") > 0).withColumn("fp", fingerprint("s")))

@@ -210,6 +210,41 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def weights(words):
+    return {tuple(words[i : i + 5]): sum(map(len, words[i : i + 5])) for i in range(len(words) - 4)}
+
+
+def test_decontaminate_against_all_windows(spark):
+    """Copies with words inserted, lost and replaced, and with their halves exchanged: the best of all windows is found."""
+    r = np.random.default_rng(17)
+    items = {i: prose(int(r.integers(20, 60)), 700 + i).replace(".", "").lower().split() for i in range(12)}
+    rows = []
+    for i, own in items.items():
+        for j in range(10):
+            copy = list(own)
+            for _ in range(int(r.integers(0, 4))):
+                at = int(r.integers(len(copy)))
+                copy[at : at + int(r.integers(0, 3))] = ["new"] * int(r.integers(0, 3))
+            if j % 4 == 3:
+                copy = copy[len(copy) // 2 :] + copy[: len(copy) // 2]
+            rows.append((100 * i + j, " ".join([*prose(25, 800 + i).replace(".", "").lower().split(), *copy, "end", "of", "text"])))
+    want = {}
+    for d, text in rows:
+        words = text.split()
+        for i, own in items.items():
+            target = weights(own)
+            for at in range(len(words) - len(own) + 1):
+                x = weights(words[at : at + len(own)])
+                alike = 2 * sum(v for g, v in x.items() if g in target) / (sum(x.values()) + sum(target.values()))
+                if alike >= 0.8 and alike > want.get((d, i), (0, 0))[0] + 1e-12:
+                    want[d, i] = (alike, at)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start) for x in decontaminate.contaminated(docs, benchmark).collect()}
+    assert len(want) > 60 and set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
 def test_sharding(spark, docs, empty):
     rows = [(i, prose(20 + i % 30, i % 50)) for i in range(3000)] + [(3000 + i, "same text") for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
