@@ -34,17 +34,33 @@ def items_of_pages(pages: DataFrame) -> DataFrame:
     return rows.select("page", F.posexplode("items").alias("pos", "item"))
 
 
-def follow_links(pages: DataFrame, first: str, max_pages: int = 100) -> DataFrame:
-    """(n, address, payload): the pages (address, payload, next) from ``first`` on, each found by the one before.
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
-    The chain is short and sequential by nature: one filtered lookup a page, one row each.
+
+def follow_links(pages: DataFrame, first: str) -> DataFrame:
+    """(n, address, payload): the pages (address, payload, next) from ``first`` on, each found by the one before, to the end.
+
+    The walk ends at a null or unknown address or at a page met before. Pointer doubling: after k rounds the first 2**k
+    pages have their place and every page knows the one 2**k on, so a listing takes as many joins as its length has bits.
+    Of rows with one address the one with the smallest (next, payload) counts, nulls first.
     """
-    out, at, seen = [], first, set()
-    while at is not None and at not in seen and len(out) < max_pages:
-        seen.add(at)
-        row = pages.filter(F.col("address") == at).select("payload", "next").first()
-        if row is None:
+    one = F.min(F.struct("next", "payload")).alias("p")
+    rows = pages.filter(F.col("address").isNotNull()).groupBy("address").agg(one).select("address", "p.payload", "p.next")
+    known = rows.select(F.col("address").alias("next"))
+    # A page that leads to none keeps a null.
+    jump = _cut(rows.select("address", "next").join(known, "next", "left_semi").select("address", "next"))
+    placed = _cut(rows.filter(F.col("address") == first).select("address", F.lit(1).cast("long").alias("n")))
+    step, found = 1, placed.count()
+    while found:
+        ahead = placed.join(jump, "address").select(F.col("next").alias("address"), (F.col("n") + step).alias("n"))
+        # In a cycle pages are met again: the first place counts.
+        placed = _cut(placed.unionByName(ahead).groupBy("address").agg(F.min("n").alias("n")))
+        now = placed.count()
+        if now < 2 * found:
             break
-        out.append((len(out) + 1, at, row["payload"]))
-        at = row["next"]
-    return pages.sparkSession.createDataFrame(out, "n int, address string, payload string")
+        found, step = now, 2 * step
+        on = jump.select(F.col("address").alias("next"), F.col("next").alias("then"))
+        jump = _cut(jump.join(on, "next").select("address", F.col("then").alias("next")))
+    return rows.join(placed, "address").select(F.col("n").cast("int").alias("n"), "address", "payload")

@@ -40,6 +40,14 @@ def test_listing_ends_at_the_first_bad_page(spark):
     assert paged.items_of_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("last", [None, "p/0", "p/90", "gone"])
+def test_links_are_followed_to_the_end(spark, last):
+    rows = [(f"p/{i}", f"x{i}", f"p/{i + 1}" if i < 259 else last) for i in range(260)] + [("stray", "y", "p/5"), (None, "z", None)]
+    df = spark.createDataFrame(rows[::-1], "address string, payload string, next string").coalesce(2)
+    assert sorted(map(tuple, paged.follow_links(df, "p/0").collect())) == [(i + 1, f"p/{i}", f"x{i}") for i in range(260)]
+    assert paged.follow_links(df, "absent").count() == 0
+
+
 def test_iso_times(spark):
     texts = ["2024-01-02T03:04:05Z", "2024-01-02 03:04", "2024-01-02", "2024", "soon", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(store.coerce_time(F.col("t"))).collect()]
