@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.tables import materialize
+
 
 def fetch_pages(spark: SparkSession, fetch: Callable[[int], str | None], start: int, last: int, slices: int = 8) -> DataFrame:
     """(page, payload) for pages start..last, both included; a page that fails has a null payload."""
@@ -34,11 +36,6 @@ def items_of_pages(pages: DataFrame) -> DataFrame:
     return rows.select("page", F.posexplode("items").alias("pos", "item"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def follow_links(pages: DataFrame, first: str) -> DataFrame:
     """(n, address, payload): the pages (address, payload, next) from ``first`` on, each found by the one before, to the end.
 
@@ -50,17 +47,17 @@ def follow_links(pages: DataFrame, first: str) -> DataFrame:
     rows = pages.filter(F.col("address").isNotNull()).groupBy("address").agg(one).select("address", "p.payload", "p.next")
     known = rows.select(F.col("address").alias("next"))
     # A page that leads to none keeps a null.
-    jump = _cut(rows.select("address", "next").join(known, "next", "left_semi").select("address", "next"))
-    placed = _cut(rows.filter(F.col("address") == first).select("address", F.lit(1).cast("long").alias("n")))
+    jump = materialize(rows.select("address", "next").join(known, "next", "left_semi").select("address", "next"))
+    placed = materialize(rows.filter(F.col("address") == first).select("address", F.lit(1).cast("long").alias("n")))
     step, found = 1, placed.count()
     while found:
         ahead = placed.join(jump, "address").select(F.col("next").alias("address"), (F.col("n") + step).alias("n"))
         # In a cycle pages are met again: the first place counts.
-        placed = _cut(placed.unionByName(ahead).groupBy("address").agg(F.min("n").alias("n")))
+        placed = materialize(placed.unionByName(ahead).groupBy("address").agg(F.min("n").alias("n")))
         now = placed.count()
         if now < 2 * found:
             break
         found, step = now, 2 * step
         on = jump.select(F.col("address").alias("next"), F.col("next").alias("then"))
-        jump = _cut(jump.join(on, "next").select("address", F.col("then").alias("next")))
+        jump = materialize(jump.join(on, "next").select("address", F.col("then").alias("next")))
     return rows.join(placed, "address").select(F.col("n").cast("int").alias("n"), "address", "payload")
