@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import column, columns_of, free_name, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -149,5 +149,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item; same columns."""
-    leaks = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.hint("merge").join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti").select(*docs.columns)
+    name = free_name(docs, "_leak")
+    leaks = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias(name)).distinct()
+    return docs.hint("merge").join(leaks, F.col("doc_id") == column(name), "left_anti").select(*columns_of(docs))

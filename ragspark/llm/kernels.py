@@ -21,21 +21,19 @@ LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
-_powers = np.ones(1, U64)
-_inverse_powers = np.ones(1, U64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n; the tables are kept by the worker."""
-    global _powers, _inverse_powers
-    if len(_powers) < n:
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below n; the tables are kept by the worker."""
+    if base not in _powers or len(_powers[base][0]) < n:
         m = max(n, 1 << 20)
-        step = np.full(m, BASE, U64)
+        step = np.full(m, base, U64)
         step[0] = 1
-        _powers = np.cumprod(step)
-        step[1:] = pow(BASE, -1, 2**64)
-        _inverse_powers = np.cumprod(step)
-    return _powers, _inverse_powers
+        up = np.cumprod(step)
+        step[1:] = pow(base, -1, 2**64)
+        _powers[base] = up, np.cumprod(step)
+    return _powers[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, mix, shingles, text_pieces, word_hashes
-from .scratch import materialize, partitions
+from .scratch import column, columns_of, discard, free_name, materialize, partitions
 
 SHINGLE = 5
 SIDE, ROWS = 8, 2
 PERCENT = 85
 #: Members compared in one task with one centre.
-STAR_SIZE = 500
+STAR_SIZE = 100
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64)
@@ -129,11 +129,13 @@ def across_components(unsettled: DataFrame, texts: DataFrame, percent: int) -> D
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     prefix = held.join(common, "s").groupBy("cls", "component", "n").agg(order.alias("o")).select("cls", "component", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("i", "p"))
     prefix = prefix.filter("p.df > 1").select("cls", "component", "n", "i", F.col("p.s").alias("s"))
-    other = prefix.withColumnsRenamed({"cls": "cls2", "component": "component2", "n": "n2", "i": "i2"})
-    pairs = prefix.join(other, "s").filter("cls < cls2 and component <> component2")
+    # Of a pair, the smaller text needs only the prefix that the larger one's size leaves it: the overlap is 2 p / (1 + p) of it at least.
+    short = (F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1).cast("int")
+    other = prefix.filter(F.col("i") < short).withColumnsRenamed({"cls": "cls2", "component": "component2", "n": "n2", "i": "i2"})
+    pairs = prefix.join(other, "s").filter("(n2 < n or (n2 = n and cls2 < cls)) and component <> component2")
     # What lies before the first shared shingle is not shared: enough must be left on either side.
     pairs = pairs.filter(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-    return pairs.select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct()
+    return pairs.select(F.least("cls", "cls2").alias("u"), F.greatest("cls", "cls2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -180,5 +182,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the smallest doc_id of their component; same columns."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.hint("merge").join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs.select("doc_id", "text"), percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.hint("merge").join(gone, F.col("doc_id") == column(name), "left_anti").select(*columns_of(docs))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import columns_of, free_name, materialize
 
 #: White space between words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -55,16 +55,9 @@ def _repeat_words(words: Column, grams: Column, pairs: Column) -> Column:
     return F.when(F.size(pairs) == 0, F.lit(0)).otherwise(step)
 
 
-def _free(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def measure(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with one struct column of measures and verdicts, and that column's name."""
-    s, w, g, p, li = (_free(docs, f"_q_{x}") for x in ("text", "words", "grams", "pairs", "lines"))
+    s, w, g, p, li = (free_name(docs, f"_q_{x}") for x in ("text", "words", "grams", "pairs", "lines"))
     c = F.col
     empty_pairs = F.array().cast("array<struct<h:bigint,p:int>>")
     df = (
@@ -86,10 +79,10 @@ def measure(docs: DataFrame) -> tuple[DataFrame, str]:
             ).otherwise(empty_pairs),
         )
     )
-    out = _free(docs, "_quality")
+    out = free_name(docs, "_quality")
     full = F.filter(c(li), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     kept = F.filter(c(li), line_passes)
-    li2, kp = _free(docs, "_q_full"), _free(docs, "_q_kept")
+    li2, kp = free_name(docs, "_q_full"), free_name(docs, "_q_kept")
     df = df.withColumn(li2, full).withColumn(kp, kept)
     chars = F.length(F.array_join(c(li), ""))
     left = F.length(F.array_join(c(kp), ""))
@@ -123,9 +116,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines that failed; same columns (n_chars, if there, follows the text)."""
     df, q = measure(docs)
-    kept = _free(docs, "_kept")
+    kept = free_name(docs, "_kept")
     # Written before the filter: pushed down, the filter would compute every measure once more.
     df = materialize(df.withColumn("text", F.col(q)["clean_text"]).withColumn(kept, F.col(q)["kept"]).drop(q)).filter(kept)
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    return df.select(*columns_of(docs))

@@ -1,45 +1,7 @@
-"""Intermediate tables, written to the folder that all executors share."""
+"""Intermediate tables of the operators; see ``ragspark.tables``."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
+from ragspark.tables import column, columns_of, discard, free_name, materialize, new_path, partitions, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ragspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a Parquet table: lost executors cost a reread, not the whole lineage.
-
-    Unlike ``checkpoint()`` this runs the plan once and the files are compressed and column-pruned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ragspark/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
-
-    Only disk is saved by this: the driver's own garbage collection would do the same, some time later.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["column", "columns_of", "discard", "free_name", "materialize", "new_path", "partitions", "shared_dir"]

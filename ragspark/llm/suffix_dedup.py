@@ -9,14 +9,19 @@ Long ties (copies of whole passages) are resolved in the same pass by longer sam
 content-chosen position to the next plus 200 bytes: where such a string is tied, every suffix in it is, and
 only one of the equal strings goes on to be compared with others. The suffixes that are left, those near the
 ends of common passages, and those of the one string kept of each tie, are sorted bucket by bucket in turn, by
-all 200 bytes. Strings are compared by 56 bits of a 64-bit hash inside 2**k buckets chosen by other bits of it.
+all 200 bytes.
+
+Equal strings always have equal keys, so nothing is missed. The keys that only choose candidates (sampled cores) are 40 bits inside a
+bucket chosen by other bits. The keys that decide a removal are 88 bits inside a bucket: 56 of one polynomial hash and 32 of
+another with a base and byte values of its own; strings of over LONG_SPAN bytes, long enough for unequal ones whose polynomial
+hashes agree to be constructed, are keyed by BLAKE2 instead.
 
 What a task holds is one bucket. A string that very many texts share doesn't swell its bucket: repeats inside a map
 task's few MB are settled there and one of them is sent on.
 
 Defined cases: null text is empty; texts under 200 bytes lose nothing; equal texts of 200 bytes or more are
-removed whole; a repeated or null doc_id is a text of its own only if its row is unique by doc_id (rows that
-share a doc_id share their marks: union); other columns are not carried. An empty table gives an empty table.
+removed whole; every row is a text of its own, whether its doc_id is repeated or null (such rows are told apart by a hash of
+doc_id and text, others by doc_id); doc_id is of an integer type; other columns are not carried. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUES, U64, mix, powers, prefix_hash, spans_hash, text_pieces
-from .scratch import materialize, partitions, release
+from .scratch import materialize, partitions
 
 LENGTH = 200
 #: A perfect difference set: every residue modulo 133 is a difference of two members exactly once.
@@ -43,7 +48,42 @@ SPAN_RATE = 32
 #: A text's marks come back from each bucket that has some, so small inputs use as many buckets as medium ones.
 MIN_BUCKETS = 64
 CORES, SPANS, WINDOWS, KEEPERS = 0, 1, 2, 3
-_KEY_BYTES = 7
+#: Bytes of a key that travel, and of its second part.
+_KEY_BYTES = {CORES: (5, 0), SPANS: (7, 4), WINDOWS: (7, 4)}
+#: Longer strings are keyed by BLAKE2.
+LONG_SPAN = 700
+_BASE2 = 0xD1342543DE82EF95
+_VALUES2 = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+
+
+def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of data[start:end] that shares neither base nor byte values with the first."""
+    pw, ip = powers(len(data) + 1, _BASE2)
+    prefix = np.zeros(len(data) + 1, U64)
+    np.cumsum(_VALUES2[data] * pw[: len(data)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * ip[starts]) >> U64(32)
+
+
+def _rekey_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, second: np.ndarray) -> None:
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        keys[i] = int.from_bytes(digest[:8], "little")
+        second[i] = int.from_bytes(digest[8:12], "little")
+
+
+def _order(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal strings together, and where a string differs from the one before."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    k = keys[order]
+    new[1:] = k[1:] != k[:-1]
+    if second is not None and len(keys):
+        x = second[order]
+        if (~new[1:] & (x[1:] != x[:-1])).any():  # equal first parts of unequal strings: very rare
+            order = np.lexsort((second, keys))
+            k, x = keys[order], second[order]
+            new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+    return order, new
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -58,20 +98,17 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _bundles(kind: int, keys: np.ndarray, pos: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int, out: list) -> None:
+def _bundles(kind: int, keys: np.ndarray, second: np.ndarray | None, pos: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int, out: list) -> None:
     """Rows for keys found at ``pos`` of the texts ``doc``: one for each bucket, and marks for repeats found right here."""
     if not len(keys):
         return
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    order, new = _order(keys, second)
     alone = new.copy()
     alone[:-1] &= new[1:]
-    tied = np.zeros(len(k), bool)
+    tied = np.zeros(len(keys), bool)
     tied[order[~alone]] = True
     _marks(kind, pos[tied], doc[tied], ids, buckets, out)
-    first = np.zeros(len(k), bool)
+    first = np.zeros(len(keys), bool)
     first[order[new]] = True
     first = np.flatnonzero(first)  # in the order of text and position
     bucket = ((keys[first] >> U64(40)) % U64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
@@ -87,7 +124,9 @@ def _bundles(kind: int, keys: np.ndarray, pos: np.ndarray, doc: np.ndarray, ids:
         step = np.diff(p, prepend=0)
         heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
         step[heads] = p[heads]
-        out.append((kind, int(bucket[a]), None, _planes(mix(keys[at]), _KEY_BYTES), _planes(step, 4), np.packbits(again[a:b]).tobytes(), _planes(np.diff(ids[d].view(np.uint64), prepend=U64(0)), 8), _planes(counts, 4)))
+        width, more = _KEY_BYTES[kind]
+        raw = _planes(mix(keys[at]), width) + (_planes(second[at], more) if more else b"")
+        out.append((kind, int(bucket[a]), None, raw, _planes(step, 4), np.packbits(again[a:b]).tobytes(), _planes(np.diff(ids[d].view(np.uint64), prepend=U64(0)), 8), _planes(counts, 4)))
         a = b
 
 
@@ -100,8 +139,8 @@ def _marks(kind: int, pos: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets
         out.append((kind, int(ids[doc[a]]) % buckets, int(ids[doc[a]]), pos[a:b].astype("<u4").tobytes(), None, None, None, None))
 
 
-_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("step", pa.binary()), ("again", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-_DDL = "kind int, bucket int, doc_id long, keys binary, step binary, again binary, docs binary, counts binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("text_id", pa.int64()), ("keys", pa.binary()), ("step", pa.binary()), ("again", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+_DDL = "kind int, bucket int, text_id long, keys binary, step binary, again binary, docs binary, counts binary"
 
 
 def _batch(out: list) -> pa.RecordBatch:
@@ -136,11 +175,13 @@ def _samples(buckets: int):
             where = offsets[doc] + at
             whole = where + CORE <= offsets[doc + 1]
             where, at, doc = where[whole], at[whole], doc[whole]
-            _bundles(CORES, spans_hash(prefix, where, where + CORE), at, doc, ids, buckets, out)
+            _bundles(CORES, spans_hash(prefix, where, where + CORE), None, at, doc, ids, buckets, out)
             ends, doc = _span_ends(prefix, offsets)
             pair = np.flatnonzero(doc[1:] == doc[:-1])
-            a, b, doc = ends[pair], ends[pair + 1], doc[pair]
-            _bundles(SPANS, spans_hash(prefix, a, b + LENGTH), a - offsets[doc], doc, ids, buckets, out)
+            a, b, doc = ends[pair], ends[pair + 1] + LENGTH, doc[pair]
+            keys, second = spans_hash(prefix, a, b), _second(data, a, b)
+            _rekey_long(data, a, b, keys, second)
+            _bundles(SPANS, keys, second, a - offsets[doc], doc, ids, buckets, out)
             if out:
                 yield _batch(out)
 
@@ -164,20 +205,17 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sorted(held: list[dict]) -> Iterator[pa.RecordBatch]:
-    keys = [_unplanes(r["keys"], _KEY_BYTES) for r in held]
-    size = np.array([len(k) for k in keys])
+    width, more = _KEY_BYTES[held[0]["kind"]]
+    size = np.array([len(r["keys"]) // (width + more) for r in held])
+    flat = np.concatenate([_unplanes(r["keys"][: n * width], width) for r, n in zip(held, size.tolist(), strict=True)])
+    second = np.concatenate([_unplanes(r["keys"][n * width :], more) for r, n in zip(held, size.tolist(), strict=True)]) if more else None
     again = np.concatenate([np.unpackbits(np.frombuffer(r["again"], np.uint8), count=int(n)) for r, n in zip(held, size, strict=True)]).astype(bool)
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    k = flat[order]
-    same = k[1:] == k[:-1]
-    tie = np.zeros(len(k), bool)
-    tie[1:] |= same
-    tie[:-1] |= same
-    tied, keeper = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    order, head = _order(flat, second)
+    tie = ~head
+    tie[:-1] |= ~head[1:]
+    tied, keeper = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
     tied[order] = tie
     if held[0]["kind"] == SPANS:  # one of each tied string, in whose place all its suffixes are compared with others
-        head = np.append(True, ~same)
         any_again = np.add.reduceat(again[order], np.flatnonzero(head))[np.cumsum(head) - 1] > 0
         keeper[order] = head & (tie | any_again)
     tied &= ~again  # those were marked where they were found
@@ -198,9 +236,9 @@ def _sorted(held: list[dict]) -> Iterator[pa.RecordBatch]:
 
 
 def _tied(rows: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, marks): positions of all keys that occur twice or more."""
+    """(text_id, marks): positions of all keys that occur twice or more."""
     sent = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    return sent.mapInArrow(_sort_bucket, _DDL).groupBy("doc_id").agg(F.collect_list(F.struct("kind", F.col("keys").alias("pos"))).alias("marks"))
+    return sent.mapInArrow(_sort_bucket, _DDL).groupBy("text_id").agg(F.collect_list(F.struct("kind", F.col("keys").alias("pos"))).alias("marks"))
 
 
 class _Marks:
@@ -236,7 +274,7 @@ def _leftover(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_pieces(batches):
             ids, n, out = rows.column(0).to_numpy(zero_copy_only=False), len(data), []
-            marks = _Marks(rows.column(2), offsets)
+            marks = _Marks(rows.column(rows.schema.get_field_index("marks")), offsets)
             prefix = prefix_hash(data, BYTE_VALUES)
             ends, _ = _span_ends(prefix, offsets)
             cores, doc = marks.of(CORES)
@@ -245,7 +283,7 @@ def _leftover(buckets: int):
             candidate &= _inside(offsets[:-1][last], offsets[1:][last] - (LENGTH - 1), n)
             where = np.flatnonzero(candidate & (~_settled(ends, marks.of(SPANS)[0], n) | _settled(ends, marks.of(KEEPERS)[0], n)))
             doc = np.searchsorted(offsets, where, "right") - 1
-            _bundles(WINDOWS, spans_hash(prefix, where, where + LENGTH), where - offsets[doc], doc, ids, buckets, out)
+            _bundles(WINDOWS, spans_hash(prefix, where, where + LENGTH), _second(data, where, where + LENGTH), where - offsets[doc], doc, ids, buckets, out)
             if out:
                 yield _batch(out)
 
@@ -256,8 +294,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """columns doc_id, text, marks of samples, marks of windows -> what is left of each text."""
     for rows, data, offsets in text_pieces(batches):
         n = len(data)
-        ends, _ = _span_ends(prefix_hash(data, BYTE_VALUES), offsets)
-        tied = _settled(ends, _Marks(rows.column(2), offsets).of(SPANS)[0], n)
+        tied = np.zeros(n, bool)
+        spans = _Marks(rows.column(2), offsets).of(SPANS)[0]
+        if len(spans):
+            ends, _ = _span_ends(prefix_hash(data, BYTE_VALUES), offsets)
+            tied = _settled(ends, spans, n)
         tied[_Marks(rows.column(3), offsets).of(WINDOWS)[0]] = True
         starts = np.flatnonzero(tied)
         gone = _inside(starts, starts + LENGTH, n)
@@ -274,21 +315,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes left), kept_sha256."""
-    spark = docs.sparkSession
-    buckets = max(MIN_BUCKETS, partitions(spark))
+def _identified(docs: DataFrame) -> DataFrame:
+    """(text_id, doc_id, text): text_id is the doc_id where that is unique, else a hash of doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = materialize(_tied(docs.filter("doc_id is not null").mapInArrow(_samples(buckets), _DDL), buckets))
-    release(spark)
-    # The marks grow with the corpus: a merge join at every size.
-    marked = docs.hint("merge").join(marks, "doc_id", "left")
-    some = materialize(marked.filter("marks is not null"))
-    windows = materialize(_tied(some.mapInArrow(_leftover(buckets), _DDL), buckets)).withColumnRenamed("marks", "windows")
-    release(spark)
+    again = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("again"), F.lit(True).alias("is_again")))
+    if again.isEmpty():
+        return docs.select(F.col("doc_id").alias("text_id"), "doc_id", "text")
+    # Broadcast or not is Spark's choice by the size of the written table.
+    known = docs.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    text_id = F.when(F.col("is_again"), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id"))
+    return known.select(text_id.alias("text_id"), "doc_id", "text")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes left), kept_sha256."""
+    buckets = max(MIN_BUCKETS, partitions(docs.sparkSession))
+    docs = _identified(docs)
+    texts = docs.select("text_id", "text")
+    marks = materialize(_tied(texts.mapInArrow(_samples(buckets), _DDL), buckets))
+    # The marks grow with the corpus: merge joins at every size.
+    windows = materialize(_tied(texts.hint("merge").join(marks, "text_id").select("text_id", "text", "marks").mapInArrow(_leftover(buckets), _DDL), buckets))
+    found = marks.hint("merge").join(windows.withColumnRenamed("marks", "windows"), "text_id", "left")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    cut = some.hint("merge").join(windows, "doc_id", "left").select("doc_id", "text", "marks", "windows").mapInArrow(_cut, out)
-    none = docs.join(marks.hint("merge").select("doc_id"), "doc_id", "left_anti")
-    text = F.coalesce("text", F.lit(""))
-    whole = none.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), text.cast("binary").alias("kept"), F.sha2(text, 256).alias("kept_sha256"))
-    return cut.unionByName(whole)
+    return docs.hint("merge").join(found, "text_id", "left").select("doc_id", "text", "marks", "windows").mapInArrow(_cut, out)

@@ -4,12 +4,13 @@ A text is cut before every white-space run that follows a visible character, and
 exclamation mark that follows an ASCII letter; neither vocabulary has a
 token across such a cut, so a text's ids are those of its pieces, one after another. Each worker encodes
 the distinct pieces it meets and keeps them; texts with other Unicode spaces or control characters (where
-the cut would not be safe) are encoded whole. Equality with whole-text encoding is tested.
+the cut would not be safe), and texts that spell one of the vocabulary's added tokens, are encoded whole. Equality with whole-text encoding is tested.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,10 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        self.tokenizer.encode_special_tokens = True
+        # A text that spells an added token, such as <|endoftext|>, gets that token's id, and is encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added), re.I) if added else None
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # Where the vocabulary folds case, pieces that differ in ASCII case share an entry.
         self.values = LOWER_VALUES if "Lowercase" in str(self.tokenizer.normalizer) else BYTE_VALUES
         self._clear()
@@ -60,7 +64,7 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint16)
+        self.ids = np.zeros(0, self.dtype)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,7 +72,7 @@ class Encoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         ids = self._whole(texts)
         count = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.uint16, int(count.sum()))
+        flat = np.fromiter((x for row in ids for x in row), self.dtype, int(count.sum()))
         start = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
@@ -81,7 +85,7 @@ class Encoder:
         n_rows, n = len(offsets) - 1, len(data)
         counts = np.zeros(n_rows, np.int64)
         if n == 0:
-            return np.zeros(0, np.uint16), counts
+            return np.zeros(0, self.dtype), counts
         space = IS_SPACE[data]
         cut = np.zeros(n, bool)
         cut[1:] = space[1:] & ~space[:-1]
@@ -98,6 +102,9 @@ class Encoder:
         long_row = np.zeros(n_rows, bool)
         long_row[row[ends - starts > MAX_PIECE]] = True
         raw = data.tobytes()
+        if self.added:
+            for found in self.added.finditer(raw):
+                whole_row[np.searchsorted(offsets, [found.start(), found.end() - 1], "right") - 1] = True
         keys = spans_hash(prefix_hash(data, self.values), starts, ends)
         by_piece = ~whole_row[row]
         long_piece = by_piece & (ends - starts > MAX_PIECE)
@@ -119,7 +126,7 @@ class Encoder:
         extra = [raw[offsets[r] : offsets[r + 1]].decode() for r in extra_rows.tolist()] + [raw[a:b].decode() for a, b in zip(starts[long_piece].tolist(), ends[long_piece].tolist(), strict=True)]
         extra_ids = self._whole(extra) if extra else []
         extra_count = np.fromiter(map(len, extra_ids), np.int64, len(extra_ids))
-        pool = np.concatenate([self.ids, np.fromiter((x for r in extra_ids for x in r), np.uint16, int(extra_count.sum()))]) if extra else self.ids
+        pool = np.concatenate([self.ids, np.fromiter((x for r in extra_ids for x in r), self.dtype, int(extra_count.sum()))]) if extra else self.ids
         extra_start = len(self.ids) + np.concatenate([[0], np.cumsum(extra_count)[:-1]]).astype(np.int64) if extra else np.zeros(0, np.int64)
         place = np.searchsorted(self.keys, distinct)[inverse]
         src, cnt = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)

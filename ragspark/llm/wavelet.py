@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import text_pieces
-from .scratch import partitions, shared_dir
+from .scratch import new_path, partitions
 from .tokens import Encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -165,7 +165,7 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int):
         for rows, data, offsets in text_pieces(batches):
             part = rows.column(2)[0].as_py()
             ids, counts = encoder.encode(data, offsets)
-            out = np.full(len(ids) + len(counts), end_id, np.uint16)
+            out = np.full(len(ids) + len(counts), end_id, ids.dtype)
             out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
             parts.append(out)
             docs.append(rows.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False))
@@ -217,8 +217,6 @@ def read_documents(spark, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write the files (to the shared scratch folder if no path is given) and read the documents back from them."""
-    import uuid
-
-    path = path or f"{shared_dir(docs.sparkSession)}/ragspark/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(docs.sparkSession, "tokens")
     write_shards(docs, path, **options)
     return read_documents(docs.sparkSession, path)
