@@ -1,9 +1,11 @@
 """Operator 8, benchmark decontamination, in DataFrame and SQL functions only.
 
 Windows of a document, each as many words long as the item it is held against, get a 64-bit SimHash of their
-weighted 5-word shingles (weight: letters and digits in it). Items' fingerprints are cut into RADIUS + 1 blocks; two
-fingerprints within RADIUS bits agree in one block at least, so the join on (length, block, value) finds all of
-them. Those pairs are verified by the exact weighted similarity 2 * shared / (window + item) of shingle sets.
+weighted 5-word shingles (weight: letters and digits in it). Fingerprints are cut into BLOCKS blocks; of two within
+RADIUS = BLOCKS * (FLIPS + 1) - 1 bits, one block at least differs in FLIPS bits or fewer. So each item is entered under every
+value within FLIPS bits of each of its blocks, and the join on (length, block, value) finds all windows within RADIUS. Unrelated
+fingerprints meet in 21 cases of 100 (blocks of equal bits alone would have to be two bits wide, and nearly all would meet).
+Those pairs are verified by the exact weighted similarity 2 * shared / (window + item) of shingle sets.
 
 Which windows are cut is decided without loss: a window that reaches the similarity shares more than
 2/3 of the item's weight, so it holds one of any shingles that weigh over 1/3 of the item together. Those seeds are
@@ -18,6 +20,8 @@ repeated ids give one result row per (doc_id, item_id); an empty side gives an e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,10 @@ from .scratch import column, columns_of, free_name, materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the similarity differs in 13 of 64 bits on average, with a standard deviation of 3.2.
-RADIUS = 24
-#: Seeds, and items, are broadcast up to this count; beyond, the joins are Spark's choice.
+BLOCKS, FLIPS = 5, 3
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+_EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+#: A side of a join that grows with the benchmark is broadcast only up to so many counted rows; beyond, Spark chooses the join.
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -67,11 +73,27 @@ def weight(shingles: str) -> Column:
     return F.expr(f"aggregate({shingles}, 0L, (t, x) -> t + x.w)")
 
 
+def _values(fp: str) -> list[tuple[int, Column]]:
+    """(bits, value) of each block of a fingerprint."""
+    return [(b - a, F.expr(f"shiftrightunsigned({fp}, {a}) & {2 ** (b - a) - 1}L")) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
+
+
 def _blocks(fp: str) -> Column:
-    """(block, value) of the RADIUS + 1 pieces of a fingerprint."""
-    n = RADIUS + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned({fp}, {a}) & {2 ** (b - a) - 1}L").alias("value")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    return F.array(*[F.struct(F.lit(k).alias("block"), v.alias("value")) for k, (_, v) in enumerate(_values(fp))])
+
+
+def _neighbours(fp: str) -> Column:
+    """(block, value) within FLIPS bits of each block."""
+
+    def near(k: int, bits: int, value: Column) -> Column:
+        flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(2**bits - 1).cast("long")), lambda m: F.bit_count(m) <= FLIPS)
+        return F.transform(flips, lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    return F.flatten(F.array(*[near(k, *x) for k, x in enumerate(_values(fp))]))
+
+
+#: Values that an item is entered under.
+NEIGHBOURS = sum(math.comb(b - a, k) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True) for k in range(FLIPS + 1))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -136,9 +158,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = materialize(windows.select("doc_id", "n", "start", "s"))
     windows = materialize(windows.filter(F.size("s") > 0).withColumn("fp", fingerprint("s")))
     near = windows.select("doc_id", "n", "start", "fp", F.explode(_blocks("fp")).alias("b")).select("doc_id", "n", "start", "fp", "b.*")
-    targets = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_blocks("fp")).alias("b")).select("item_id", "n", "item_fp", "b.*")
+    targets = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_neighbours("fp")).alias("b")).select("item_id", "n", "item_fp", "b.*")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = near.join(_small(targets, n_items * (RADIUS + 1)), ["n", "block", "value"]).filter(distance <= RADIUS).select("doc_id", "n", "start", "fp", "item_id", "item_fp", distance.alias("hamming")).distinct()
+    near = near.join(_small(targets, n_items * NEIGHBOURS), ["n", "block", "value"]).filter(distance <= RADIUS).select("doc_id", "n", "start", "fp", "item_id", "item_fp", distance.alias("hamming")).distinct()
     sets = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.col("s").alias("item_s"), F.col("weight").alias("item_weight"))
     pairs = near.join(windows, ["doc_id", "n", "start", "fp"]).join(_small(sets, n_items), ["item_id", "n", "item_fp"])
     shared = F.expr("aggregate(array_intersect(s, item_s), 0L, (t, x) -> t + x.w)")

@@ -4,10 +4,12 @@ Documents are encoded in place (no shuffle of text); what moves on is one short
 count and the checksum of each piece. A document longer than a sequence gives full pieces, which fill
 sequences of their own, and one shorter first piece. Packing needs only the histogram of first-piece
 lengths, at most ``capacity`` rows, so the search runs on the driver whatever the corpus size: around the
-largest length left, undominated fillings are enumerated and pruned by the least waste found (best fit is
-the first incumbent), and the best one is used as often as the counts allow. The last few dozen items are
-packed by branch and bound against the waste bound. The plan, bounded like the histogram, is
-broadcast; each document finds its place by its rank among documents of its length, and ranks come from
+largest length left, undominated fillings are enumerated, those that can't waste less than the best one so far are cut off
+(the first one found is the best-fit incumbent), and the best one is used as often as the counts allow. The last
+TAIL_ITEMS items are packed by branch and bound over whole sequences: every undominated filling of a sequence is
+a branch, and a branch ends where the waste so far exceeds what one sequence fewer than the incumbent's allows. FILL_NODES and
+TAIL_NODES end a search early; then its incumbent stands. ``bounds`` tells how far the plan is from the lower bound. The
+plan, bounded like the histogram, is broadcast; each document finds its place by its rank among documents of its length, and ranks come from
 (length, salt) groups, so a length that a third of all documents have is spread over many tasks.
 
 Defined cases: null or empty text is one token (the end id); equal rows are packed one by one; an empty
@@ -34,87 +36,137 @@ END_ID = 0
 #: Tasks that the documents of one length are ranked in. The offsets of (length, salt) groups are broadcast: capacity * SALTS
 #: rows at most, 131,072 of 16 bytes, whatever the corpus and the cluster.
 SALTS = 64
-#: Nodes looked at for one filling, and for the last items.
+#: Steps of the search for one filling, of that for the last items, and how many those are.
 FILL_NODES, TAIL_NODES, TAIL_ITEMS = 3000, 20000, 48
 
 
-def completions(space: int, counts: dict[int, int], nodes: int = FILL_NODES) -> tuple[int, ...]:
-    """The undominated filling of ``space`` with least waste: sizes in descending order, larger ones first."""
+def _dilated(mask: int, by: int) -> int:
+    """Bits of ``mask`` and the ``by`` places above each."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        mask |= mask << step
+        done += step
+    return mask
+
+
+def dominated(items: tuple[int, ...], room: int, left: int) -> bool:
+    """Whether one size of the bit set ``left`` fits in place of some of ``items`` and is as large as they are together.
+
+    Those items can go wherever the larger one would have gone, so another filling is at least as good.
+    """
+    one, several, single = 0, 0, 0
+    for s in items:
+        several |= one << s
+        one |= one << s | 1 << s
+        single |= 1 << s
+    swaps = _dilated(several, room)
+    if room:
+        swaps |= _dilated(single << 1, room - 1)
+    return bool(swaps & left)
+
+
+def fillings(space: int, counts: dict[int, int], nodes: int = FILL_NODES, better_than: bool = True) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, sizes in descending order) of the undominated fillings of ``space``, larger sizes first.
+
+    With ``better_than``, only fillings that waste less than all before them.
+    """
     sizes = sorted((s for s, n in counts.items() if n and s <= space), reverse=True)
+    rest = [0] * (len(sizes) + 1)  # what the sizes from here on hold together
+    for i in range(len(sizes) - 1, -1, -1):
+        rest[i] = rest[i + 1] + sizes[i] * counts[sizes[i]]
+    available = sum(1 << s for s in sizes)
+    best, left = space + 1, nodes
+
+    def search(i: int, room: int, used: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        nonlocal best, left
+        fits = False
+        for j in range(i, len(sizes)):
+            s = sizes[j]
+            if left <= 0 or (better_than and (not best or room - rest[j] >= best)):
+                return
+            if s > room:
+                continue
+            for k in range(min(room // s, counts[s]), 0, -1):
+                fits = True
+                left -= 1
+                yield from search(j + 1, room - k * s, (*used, (s, k)))
+                if left <= 0 or (better_than and not best):
+                    return
+        if fits or (better_than and room >= best):
+            return
+        gone = sum(1 << s for s, k in used if k == counts[s])
+        out = available & ~gone
+        if out & ((1 << room + 1) - 1):  # something still fits
+            return
+        items = tuple(s for s, k in used for _ in range(k))
+        if not dominated(items, room, out):
+            best = min(best, room)
+            yield room, items
+
+    yield from search(0, space, ())
+
+
+def completion(space: int, counts: dict[int, int], nodes: int = FILL_NODES) -> tuple[int, ...]:
+    """The undominated filling of ``space`` with least waste, as far as the search goes."""
     best: tuple[int, ...] = ()
-    best_waste = space
-    left = [nodes]
-
-    def search(i: int, room: int, used: tuple[int, ...]) -> bool:
-        nonlocal best, best_waste
-        if room < best_waste:
-            best, best_waste = used, room
-        if not best_waste or left[0] <= 0:
-            return True
-        while i < len(sizes):
-            s = sizes[i]
-            if s <= room and used.count(s) < counts[s]:
-                left[0] -= 1
-                if search(i, room - s, (*used, s)):
-                    return True
-                if room >= 2 * s and len(used) > 24:
-                    return False
-            i += 1
-        return False
-
-    if space in counts and counts[space]:
-        return (space,)
-    search(0, space, ())
+    for _, best in fillings(space, counts, nodes):
+        pass
     return best
 
 
+def best_fit(items: list[int], capacity: int) -> list[list[int]]:
+    bins: list[list[int]] = []
+    for x in sorted(items, reverse=True):
+        fit = [b for b in bins if sum(b) + x <= capacity]
+        if fit:
+            max(fit, key=sum).append(x)
+        else:
+            bins.append([x])
+    return bins
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: the best, over k, of counting sizes above capacity - k alone and small ones by volume."""
+    n = np.zeros(capacity + 2, np.int64)
+    for s, k in histogram.items():
+        n[s] = k
+    count, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * np.arange(len(n)))])
+    half, found = capacity // 2, 0
+    for k in range(half + 1):
+        large, medium = count[-1] - count[capacity - k + 1], count[capacity - k + 1] - count[half + 1]
+        spare = medium * capacity - (volume[capacity - k + 1] - volume[half + 1])
+        found = max(found, int(large + medium + max(0, -(-(volume[half + 1] - volume[k] - spare) // capacity))))
+    return found
+
+
 def pack_tail(items: list[int], capacity: int, nodes: int = TAIL_NODES) -> list[list[int]]:
-    """Branch and bound over whole bins; starts from best fit decreasing and stops at the waste bound."""
-
-    def best_fit() -> list[list[int]]:
-        bins: list[list[int]] = []
-        for x in sorted(items, reverse=True):
-            fit = [b for b in bins if sum(b) + x <= capacity]
-            if fit:
-                max(fit, key=sum).append(x)
-            else:
-                bins.append([x])
-        return bins
-
-    best = best_fit()
-    bound = -(-sum(items) // capacity)
-    left = [nodes]
-
-    def search(rest: list[int], bins: list[list[int]]) -> None:
-        nonlocal best
-        if not rest:
-            if len(bins) < len(best):
-                best = [*bins]
-            return
-        if len(bins) + -(-sum(rest) // capacity) >= len(best) or left[0] <= 0 or len(best) == bound:
+    """Branch and bound over whole sequences; starts from best fit decreasing and stops at the lower bound."""
+    best = best_fit(items, capacity)
+    counts: dict[int, int] = {}
+    for x in items:
+        counts[x] = counts.get(x, 0) + 1
+    bound, volume, left = lower_bound(counts, capacity), sum(items), nodes
+
+    def search(counts: dict[int, int], bins: list[list[int]], wasted: int) -> None:
+        nonlocal best, left
+        if not counts:
+            best = bins if len(bins) < len(best) else best
             return
-        head, others = rest[0], rest[1:]
-        tried = set()
-        for first in [None, *others]:
-            if first is not None and (head + first > capacity or first in tried):
-                continue
-            tried.add(first)
-            left[0] -= 1
-            room = capacity - head - (first or 0)
-            pool = [*others]
-            if first is not None:
-                pool.remove(first)
-            counts: dict[int, int] = {}
-            for x in pool:
-                if first is None or x <= first:
-                    counts[x] = counts.get(x, 0) + 1
-            fill = completions(room, counts, 200) if first is not None else ()
-            for x in fill:
-                pool.remove(x)
-            search(pool, [*bins, [head, *([first] if first is not None else []), *fill]])
+        head = max(counts)
+        others = {s: n - (s == head) for s, n in counts.items()}
+        found = sorted(fillings(capacity - head, others, min(left, 400), better_than=False))
+        for waste, fill in found or [(capacity - head, ())]:
+            left -= 1
+            if left <= 0 or len(best) == bound or wasted + waste > (len(best) - 1) * capacity - volume:
+                return
+            after = dict(others)
+            for s in fill:
+                after[s] -= 1
+            search({s: n for s, n in after.items() if n}, [*bins, [head, *fill]], wasted + waste)
 
     if len(best) > bound:
-        search(sorted(items, reverse=True), [])
+        search(counts, [], 0)
     return best
 
 
@@ -125,7 +177,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     while total > TAIL_ITEMS:
         head = max(counts)
         counts[head] -= 1
-        fill = completions(capacity - head, counts)
+        fill = completion(capacity - head, counts)
         counts[head] += 1
         sizes = (head, *fill)
         times = min(counts[s] // sizes.count(s) for s in set(sizes))
@@ -140,6 +192,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return out
 
 
+def bounds(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences of the plan, the least that any packing needs)."""
+    return sum(n for _, n in plan(histogram, capacity)), lower_bound(histogram, capacity)
+
+
 def _encode(vocabulary: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
