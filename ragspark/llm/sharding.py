@@ -3,7 +3,7 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours. Splitters of that order are
 found by counting, in rounds, the exact bytes and rows below candidate boundaries over all partitions and
 probing finer only inside the interval that holds each target; at a text's edge if one is within tolerance,
-else inside the group, by doc_id. Then rows are exchanged once, into buckets of whole key ranges.
+else inside the group, by doc_id, all such groups in the same rounds. Then rows are exchanged once, into buckets of whole key ranges.
 
 The law is ``bytes``: shards of near equal size. What reaches the driver is one row a probe interval,
 whose number depends on the shard count alone. Rounds end when every splitter is within ``tolerance``
@@ -15,7 +15,9 @@ first in its group; an empty table gives an empty table; fewer rows than shards
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -29,37 +31,49 @@ _LOW = -(2**63)
 PROBES = 64
 
 
-def _search(df: DataFrame, column: str, lo: int, hi: int, targets: list[float], base: float, total: float, slack: float) -> list[tuple[int, int, float, float]]:
-    """For each target the interval [a, b) of the column's values that it falls into, and the bytes below a and b.
+class _Interval(NamedTuple):
+    """Values [lo, hi) of a column, within one group or in all rows, and the bytes below either end."""
+
+    group: int | None
+    lo: int
+    hi: int
+    below: float
+    upto: float
+
+
+def _search(rows: DataFrame, column: str, spans: list[_Interval], targets: list[float], slack: float, group: str | None = None) -> list[_Interval]:
+    """Narrow each interval around its target, all of them in the same rounds.
 
     A round is one aggregation: exact bytes in every cell of the intervals that are still open. An interval
     is closed when it is one value wide or one of its ends is within slack of the target.
     """
-    spans = [(lo, hi, base, total) for _ in targets]
-    probes = PROBES * max(len(targets), 1)
+    spans, probes = list(spans), PROBES * (1 if group else max(len(targets), 1))
     while True:
-        open_ = sorted({s for s, t in zip(spans, targets, strict=True) if s[1] - s[0] > 1 and min(t - s[2], s[3] - t) > slack})
+        open_ = {s for s, t in zip(spans, targets, strict=True) if s.hi - s.lo > 1 and min(t - s.below, s.upto - t) > slack}
         if not open_:
             return spans
-        width = max(1, -(-max(b - a for a, b, _, _ in open_) // probes))
+        width = max(1, -(-max(s.hi - s.lo for s in open_) // probes))
         probes = PROBES
         inside = F.lit(False)
-        for a, b, _, _ in open_:
-            inside |= (F.col(column) >= F.lit(a)) & (F.col(column) <= F.lit(b - 1))
-        # floor(x / width) - floor(lo / width), without overflow for the full range of longs
+        for s in sorted(open_):
+            part = (F.col(column) >= F.lit(s.lo)) & (F.col(column) <= F.lit(s.hi - 1))
+            inside |= part & (F.col(group) == F.lit(s.group)) if group else part
+        # in decimals: no overflow for the full range of longs
         cell = F.floor(F.col(column).cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)")) if width > 1 else F.col(column)
-        got = {int(r["cell"]): r["b"] for r in df.filter(inside).groupBy(cell.alias("cell")).agg(F.sum("size").alias("b")).collect()}
-        for i, t in enumerate(targets):
-            a, b, below, upto = spans[i]
-            if (a, b, below, upto) not in open_:
+        of = F.col(group) if group else F.lit(None).cast("long")
+        got: dict[int | None, dict[int, int]] = {}
+        for r in rows.filter(inside).groupBy(of.alias("of"), cell.alias("cell")).agg(F.sum("size").alias("b")).collect():
+            got.setdefault(r["of"], {})[int(r["cell"])] = r["b"]
+        for i, (s, t) in enumerate(zip(spans, targets, strict=True)):
+            if s not in open_:
                 continue
-            left, found = below, None
-            for c in sorted(k for k in got if a <= max(k * width, a) < b and (k + 1) * width > a):
-                if left + got[c] > t:
-                    found = (max(c * width, a), min((c + 1) * width, b), left, left + got[c])
+            left, found, cells = s.below, None, got.get(s.group, {})
+            for c in sorted(k for k in cells if s.lo <= max(k * width, s.lo) < s.hi and (k + 1) * width > s.lo):
+                if left + cells[c] > t:
+                    found = _Interval(s.group, max(c * width, s.lo), min((c + 1) * width, s.hi), left, left + cells[c])
                     break
-                left += got[c]
-            spans[i] = found or (b - 1, b, upto, upto)
+                left += cells[c]
+            spans[i] = found or _Interval(s.group, s.hi - 1, s.hi, s.upto, s.upto)
 
 
 def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -69,17 +83,21 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
         return []
     slack = tolerance * total / n_shards
     targets = [total * i / n_shards for i in range(1, n_shards)]
-    out = []
-    for target, (a, b, below, upto) in zip(targets, _search(rows, "h", low, high + 1, targets, 0, total, slack), strict=True):
-        if target - below <= slack:
-            out.append((a, _LOW))
-        elif upto - target <= slack or b - a > 1:
-            out.append((b, _LOW))
+    out, hot = [], []
+    for target, s in zip(targets, _search(rows, "h", [_Interval(None, low, high + 1, 0, total)] * len(targets), targets, slack), strict=True):
+        if target - s.below <= slack:
+            out.append((s.lo, _LOW))
+        elif s.upto - target <= slack or s.hi - s.lo > 1:
+            out.append((s.hi, _LOW))
         else:  # the target lies inside a group of equal texts that is larger than the slack
-            group = rows.filter(F.col("h") == F.lit(a))
-            first, last = group.agg(F.min("k"), F.max("k")).first()
-            c, d, under, over = _search(group, "k", first, last + 1, [target], below, upto, slack)[0]
-            out.append((a, c if target - under <= over - target else d))
+            hot.append((target, s))
+    if hot:  # one group a splitter at most
+        within = rows.filter(F.col("h").isin(sorted({s.lo for _, s in hot})))
+        ends = {r["h"]: r for r in within.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect()}
+        spans = [_Interval(s.lo, ends[s.lo]["lo"], ends[s.lo]["hi"] + 1, s.below, s.upto) for _, s in hot]
+        hot_targets = [t for t, _ in hot]
+        for target, s in zip(hot_targets, _search(within, "k", spans, hot_targets, slack, "h"), strict=True):
+            out.append((s.group, s.lo if target - s.below <= s.upto - target else s.hi))
     return sorted(out)
 
 
@@ -102,14 +120,13 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, buckets_per_shard: int = 8,
         start[b] = begun
         begun += counts.get(b, 0)
     sizes = rows.sparkSession.createDataFrame([(b, n) for b, n in start.items()], "bucket int, start long")
-    placed = rows.repartitionById(n_shards * buckets_per_shard, F.col("bucket")).sortWithinPartitions("bucket", "h", "k")
-    placed = placed.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "k")) - 1)
     return placed.join(F.broadcast(sizes), "bucket").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         F.floor(F.col("bucket") / buckets_per_shard).cast("int").alias("shard"),
-        (F.col("start") + F.col("at")).alias("slot"),
+        (F.col("start") + F.col("at")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -106,7 +106,6 @@ def encoded(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {i: t.encode(x or "", add_special_tokens=False).ids + [end] for i, x, *_ in DOCS}
 
 
@@ -158,9 +157,39 @@ def test_plan_is_tight():
         assert used == histogram
         big = int((sizes > 1024).sum())
         assert sum(n for _, n in got) <= max(-(-int(sizes.sum()) // 2048), big) * 1.02 + 1
+        assert packing.bounds(histogram) == (sum(n for _, n in got), packing.lower_bound(histogram, 2048))
     assert packing.pack_tail([6, 5, 5, 4, 4, 3, 3], 10) and len(packing.pack_tail([6, 4, 5, 5, 7, 3], 10)) == 3
 
 
+def fewest(items, capacity):
+    best = [len(items)]
+
+    def place(i, bins):
+        if i == len(items):
+            best[0] = min(best[0], len(bins))
+        elif len(bins) < best[0]:
+            for b in range(len(bins)):
+                if bins[b] + items[i] <= capacity:
+                    place(i + 1, [*bins[:b], bins[b] + items[i], *bins[b + 1 :]])
+            place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_tail_is_optimal_and_fillings_undominated():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        capacity = int(r.choice([10, 20, 50]))
+        items = sorted(r.integers(1, capacity + 1, int(r.integers(1, 9))).tolist(), reverse=True)
+        got = packing.pack_tail(items, capacity)
+        assert sorted(sum(got, [])) == sorted(items) and all(sum(x) <= capacity for x in got)
+        assert packing.lower_bound(collections.Counter(items), capacity) <= len(got) == fewest(items, capacity)
+    found = {x for _, x in packing.fillings(10, {6: 1, 4: 1, 3: 2, 2: 2, 1: 1}, better_than=False)}
+    assert (6, 4) in found and (6, 3, 1) not in found  # 4 takes the place of 3 and 1
+    assert packing.dominated((3, 1), 0, 1 << 4) and packing.dominated((3,), 1, 1 << 4) and not packing.dominated((4,), 0, 1 << 4)
+
+
 def test_near_dedup(docs, empty):
     sets = {}
     for i, t, *_ in DOCS:
@@ -241,10 +270,24 @@ def test_decontaminate_against_all_windows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
     got = {(x.doc_id, x.item_id): (x.similarity, x.start) for x in decontaminate.contaminated(docs, benchmark).collect()}
+    # A pair beyond the fingerprints' radius may be missed; none here is.
     assert len(want) > 60 and set(got) == set(want)
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
 
 
+def test_blocks_find_all_within_the_radius_and_few_others(spark):
+    r = np.random.default_rng(3)
+    fps = [int(x) for x in r.integers(-(2**63), 2**63, 400)]
+    rows = []
+    for i, x in enumerate(fps):
+        flips = sum(1 << int(b) for b in r.choice(64, decontaminate.RADIUS, replace=False))
+        rows.append((i, x, int(np.uint64((x & (1 << 64) - 1) ^ flips).astype(np.int64)), fps[(i + 1) % 400]))
+    df = spark.createDataFrame(rows, "i int, x long, y long, z long").select("i", decontaminate._neighbours("x").alias("n"), decontaminate._blocks("y").alias("y"), decontaminate._blocks("z").alias("z"))
+    near, far = df.selectExpr("sum(int(arrays_overlap(n, y)))", "avg(int(arrays_overlap(n, z)))").first()
+    assert near == 400 and far < 0.3
+    assert len(df.first().n) == decontaminate.NEIGHBOURS
+
+
 def test_sharding(spark, docs, empty):
     rows = [(i, prose(20 + i % 30, i % 50)) for i in range(3000)] + [(3000 + i, "same text") for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
