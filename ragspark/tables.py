@@ -30,14 +30,23 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{shared_dir(spark)}/ragspark/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting (4.1) by which a query's shuffle files go when the query ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The same rows, read back from a Parquet table: lost executors cost a reread, not the whole lineage.
 
-    Unlike ``checkpoint()`` this runs the plan once and the files are compressed and column-pruned.
+    Unlike ``checkpoint()`` this runs the plan once and the files are compressed and column-pruned. The shuffle files of
+    the write are of no more use when it is done, and are freed with it.
     """
     spark = df.sparkSession
-    path = new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark), spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_at = path
     return out
