@@ -12,8 +12,8 @@ ends of common passages, and those of the one string kept of each tie, are sorte
 all 200 bytes.
 
 Equal strings always have equal keys, so nothing is missed. The keys that only choose candidates (sampled cores) are 40 bits inside a
-bucket chosen by other bits. The keys that decide a removal are 88 bits inside a bucket: 56 of one polynomial hash and 32 of
-another with a base and byte values of its own; strings of over LONG_SPAN bytes, long enough for unequal ones whose polynomial
+bucket chosen by other bits. The keys that decide a removal are 56 bits of that hash and, of another with a base and byte values of
+its own, 32 bits for long strings and 8 for windows, again inside a bucket; strings of over LONG_SPAN bytes, long enough for unequal ones whose polynomial
 hashes agree to be constructed, are keyed by BLAKE2 instead.
 
 What a task holds is one bucket. A string that very many texts share doesn't swell its bucket: repeats inside a map
@@ -49,19 +49,20 @@ SPAN_RATE = 32
 MIN_BUCKETS = 64
 CORES, SPANS, WINDOWS, KEEPERS = 0, 1, 2, 3
 #: Bytes of a key that travel, and of its second part.
-_KEY_BYTES = {CORES: (5, 0), SPANS: (7, 4), WINDOWS: (7, 4)}
+_KEY_BYTES = {CORES: (5, 0), SPANS: (7, 4), WINDOWS: (7, 1)}
 #: Longer strings are keyed by BLAKE2.
 LONG_SPAN = 700
 _BASE2 = 0xD1342543DE82EF95
 _VALUES2 = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """32 bits of a hash of data[start:end] that shares neither base nor byte values with the first."""
+def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+    """A few bits of a hash of data[start:end] that shares neither base nor byte values with the first."""
+    bits = 8 * _KEY_BYTES[kind][1]
     pw, ip = powers(len(data) + 1, _BASE2)
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum(_VALUES2[data] * pw[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * ip[starts]) >> U64(32)
+    return mix((prefix[ends] - prefix[starts]) * ip[starts]) >> U64(64 - bits)
 
 
 def _rekey_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, second: np.ndarray) -> None:
@@ -179,7 +180,7 @@ def _samples(buckets: int):
             ends, doc = _span_ends(prefix, offsets)
             pair = np.flatnonzero(doc[1:] == doc[:-1])
             a, b, doc = ends[pair], ends[pair + 1] + LENGTH, doc[pair]
-            keys, second = spans_hash(prefix, a, b), _second(data, a, b)
+            keys, second = spans_hash(prefix, a, b), _second(data, a, b, SPANS)
             _rekey_long(data, a, b, keys, second)
             _bundles(SPANS, keys, second, a - offsets[doc], doc, ids, buckets, out)
             if out:
@@ -283,7 +284,7 @@ def _leftover(buckets: int):
             candidate &= _inside(offsets[:-1][last], offsets[1:][last] - (LENGTH - 1), n)
             where = np.flatnonzero(candidate & (~_settled(ends, marks.of(SPANS)[0], n) | _settled(ends, marks.of(KEEPERS)[0], n)))
             doc = np.searchsorted(offsets, where, "right") - 1
-            _bundles(WINDOWS, spans_hash(prefix, where, where + LENGTH), _second(data, where, where + LENGTH), where - offsets[doc], doc, ids, buckets, out)
+            _bundles(WINDOWS, spans_hash(prefix, where, where + LENGTH), _second(data, where, where + LENGTH, WINDOWS), where - offsets[doc], doc, ids, buckets, out)
             if out:
                 yield _batch(out)
 
