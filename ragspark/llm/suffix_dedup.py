@@ -132,12 +132,12 @@ def _bundles(kind: int, keys: np.ndarray, second: np.ndarray | None, pos: np.nda
 
 
 def _marks(kind: int, pos: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int, out: list) -> None:
-    """One row for each text: positions whose key occurs elsewhere."""
+    """One row for each text: positions whose key occurs elsewhere, each as its distance from the one before."""
     if not len(pos):
         return
     heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, b in zip(heads.tolist(), np.append(heads[1:], len(doc)).tolist(), strict=True):
-        out.append((kind, int(ids[doc[a]]) % buckets, int(ids[doc[a]]), pos[a:b].astype("<u4").tobytes(), None, None, None, None))
+        out.append((kind, int(ids[doc[a]]) % buckets, int(ids[doc[a]]), np.diff(pos[a:b], prepend=0).astype("<u4").tobytes(), None, None, None, None))
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("text_id", pa.int64()), ("keys", pa.binary()), ("step", pa.binary()), ("again", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
@@ -250,7 +250,9 @@ class _Marks:
         counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
         size = pc.binary_length(flat.field(1)).to_numpy(zero_copy_only=False) // 4
         doc = np.repeat(np.repeat(np.arange(len(counts)), counts), size)
-        pos = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u4").astype(np.int64)
+        step = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u4").astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(step)])
+        pos = total[1:] - np.repeat(total[np.cumsum(size) - size], size)
         self.doc, self.at = doc, pos + offsets[doc]
         self.kind = np.repeat(flat.field(0).to_numpy(zero_copy_only=False), size)
 
