@@ -33,9 +33,13 @@ def enrich_titles(store: DataFrame, title: Column) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, by: str, path: Column, content: Column) -> DataFrame:
-    """md5 over the sorted ``path:md5(content)`` of each source."""
-    entry = F.concat_ws(":", path.cast("string"), F.md5(content))
-    return files.groupBy(by).agg(F.md5(F.array_join(F.array_sort(F.collect_list(entry)), "|")).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
+    """A fingerprint of each source in two levels: md5 over the sorted ``path:md5(content)`` of each of 4,096 parts, dealt by
+    md5 of the path, then md5 over the sorted ``part:md5``. So no row holds all files of a large source."""
+    name = path.cast("string")
+    entries = files.select(F.col(by), F.substring(F.md5(name), 1, 3).alias("_part"), F.concat_ws(":", name, F.md5(content)).alias("_entry"))
+    joined = lambda c: F.md5(F.array_join(F.array_sort(F.collect_list(c)), "|"))
+    parts = entries.groupBy(by, "_part").agg(joined("_entry").alias("_digest"), F.count(F.lit(1)).alias("_n"))
+    return parts.groupBy(by).agg(joined(F.concat_ws(":", "_part", "_digest")).alias("fingerprint"), F.sum("_n").alias("n_files"))
 
 
 def changed_sources(stored: DataFrame, current: DataFrame, key: str = "source", value: str = "fingerprint") -> DataFrame:

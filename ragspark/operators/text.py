@@ -64,11 +64,12 @@ def table_class(headers: Column) -> Column:
     )
 
 
-def render_table(title: Column, headers: Column, rows: Column, first: int = 10) -> Column:
-    """Title, headers and the first rows as lines; the number of further rows, if any."""
+def render_table(title: Column, headers: Column, rows: Column, first: int = 10, total: Column | None = None) -> Column:
+    """Title, headers and the first rows as lines; the number of further rows, if any. ``rows`` may hold the first ones only, with ``total`` given."""
+    total = F.size(rows) if total is None else total
     shown = F.transform(F.slice(rows, 1, first), lambda r, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), F.array_join(r, " | ")))
     head = F.when(F.size(headers) > 0, F.concat(F.lit("Headers: "), F.array_join(headers, ", ")))
-    more = F.when(F.size(rows) > first, F.concat(F.lit("... and "), (F.size(rows) - first).cast("string"), F.lit(" more rows")))
+    more = F.when(total > first, F.concat(F.lit("... and "), (total - first).cast("string"), F.lit(" more rows")))
     return F.array_join(F.concat(F.array(F.concat(F.lit("Table: "), title), head), shown, F.array(more)), "\n")
 
 
@@ -142,22 +143,33 @@ def chunk_recursive(docs: DataFrame, profile: str = "web") -> DataFrame:
 
 
 class _Text(HTMLParser):
-    """Visible text pieces; the content of dropped elements is left out."""
+    """Visible text pieces, one between two tags; the content of dropped elements is left out."""
 
     def __init__(self, drop: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.drop, self.depth, self.parts = drop, 0, []
+        self.drop, self.depth, self.parts, self.held = drop, 0, [], ""
+
+    def _end_piece(self) -> None:
+        if self.held.strip():
+            self.parts.append(self.held.strip())
+        self.held = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._end_piece()
         self.depth += tag in self.drop
 
     def handle_endtag(self, tag: str) -> None:
+        self._end_piece()
         if tag in self.drop and self.depth:
             self.depth -= 1
 
     def handle_data(self, data: str) -> None:
-        if not self.depth and data.strip():
-            self.parts.append(data.strip())
+        if not self.depth:
+            self.held += data
+
+    def close(self) -> None:
+        super().close()
+        self._end_piece()
 
 
 class _Tables(HTMLParser):
@@ -194,6 +206,7 @@ CHROME = CODE | {"nav", "header", "footer"}
 def html_text(page: str | None, separator: str = "\n", drop: frozenset[str] = CODE, unescape: bool = False) -> str:
     parser = _Text(drop)
     parser.feed(html.unescape(page or "") if unescape else page or "")
+    parser.close()
     return separator.join(parser.parts)
 
 

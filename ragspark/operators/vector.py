@@ -110,3 +110,16 @@ def grounded(pairs: DataFrame, answer: str, text: str, min_length: int = 5, min_
 
     shared = F.size(F.array_intersect(long_words(answer), long_words(text))).cast("long")
     return pairs.withColumn("n_shared", shared).withColumn("grounded", shared > min_shared)
+
+
+def grounding_counts(answers: DataFrame, docs: DataFrame, min_length: int = 5, min_shared: int = 3) -> DataFrame:
+    """(id, n_docs): the documents (doc_id, text) that share over ``min_shared`` distinct longer words with each answer (id, answer).
+
+    By an inverted index: pairs meet at the words they share, and only words of answers are looked up.
+    """
+    def words(df: DataFrame, key: str, c: str) -> DataFrame:
+        return df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > min_length))).alias("word"))
+
+    shared = words(answers, "id", "answer").join(words(docs, "doc_id", "text"), "word").groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = shared.filter(F.col("n") > min_shared).groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return answers.select("id").join(counts, "id", "left").select("id", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"))

@@ -1 +1,7 @@
-"""See the modules of this package."""
+"""All queries over the driver's tables and their SQL."""
+
+from . import extended, reference
+
+QUERIES, ORACLE_SQL = reference.QUERIES, reference.ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "extended", "reference"]

@@ -242,9 +242,11 @@ def ext_table_class(spark, d):
 select o_custkey, 'Table: orders' || chr(10) || 'Headers: key, status' || chr(10) || string_agg('Row ' || n || ': ' || line, chr(10) order by n) filter (n <= 10) || case when max(total) > 10 then chr(10) || '... and ' || (max(total) - 10) || ' more rows' else '' end as body from r group by o_custkey""")
 def ext_table_render(spark, d):
     o = table(spark, d, "orders")
+    by = Window.partitionBy("o_custkey")
+    o = o.withColumn("n", F.row_number().over(by.orderBy("o_orderkey"))).withColumn("total", F.count(F.lit(1)).over(by)).filter("n <= 10")  # what is shown
     rows = F.array_sort(F.collect_list(F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus")).alias("r"))))
-    by = o.groupBy("o_custkey").agg(F.transform(rows, lambda x: x["r"]).alias("rows"))
-    return by.select("o_custkey", text.render_table(F.lit("orders"), F.array(F.lit("key"), F.lit("status")), F.col("rows")).alias("body"))
+    by_customer = o.groupBy("o_custkey").agg(F.transform(rows, lambda x: x["r"]).alias("rows"), F.first("total").alias("total"))
+    return by_customer.select("o_custkey", text.render_table(F.lit("orders"), F.array(F.lit("key"), F.lit("status")), F.col("rows"), total=F.col("total")).alias("body"))
 
 
 @query("select * from (values ('a', 1, 'How does the engine start up?', 'It reads tables. Then it runs.'), ('a', 2, 'Where does the result go to?', 'To the caller.')) t(page, faq_number, question, answer)")
@@ -338,7 +340,8 @@ def snk_merge_missing(spark, d):
     return store.merge_missing(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-_PRINTS = "select source, md5(string_agg(doc_id || ':' || md5(text), '|' order by doc_id || ':' || md5(text))) as fingerprint, count(*) as n_files from documents {} group by source"
+_PRINTS = """select source, md5(string_agg(part || ':' || digest, '|' order by part || ':' || digest)) as fingerprint, sum(n)::bigint as n_files from
+(select source, substring(md5(doc_id::varchar), 1, 3) as part, md5(string_agg(doc_id || ':' || md5(text), '|' order by doc_id || ':' || md5(text))) as digest, count(*) as n from documents {} group by 1, 2) group by source"""
 
 
 @query(_PRINTS.format(""))
@@ -425,17 +428,6 @@ def cur_dedup_hash(spark, d):
     return feedback.dedup_examples(_pairs(spark, d), "id").select("id", "input")
 
 
-@query("select * from (values (1, 'valid'), (3, 'invalid'), (4, 'incomplete'), (5, 'duplicate'), (6, 'valid')) t(n, status)")
-def cur_convert_status(spark, d):
-    lines = ['{"input":"a","expectedOutput":"b"}', " ", "{oops", '{"input":"a"}', '{"input":"a","expectedOutput":"b"}', '{"input":"c","corrected_output":"d"}']
-    return feedback.convert_status(spark.createDataFrame(list(enumerate(lines, 1)), "n int, line string"))
-
-
-@query("""select * from (values (1, '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}')) t(id, line)""")
-def cur_messages_json(spark, d):
-    return feedback.messages_json(spark.createDataFrame([(1, "a", "b")], "id int, input string, output string"), "s")
-
-
 # --- aggregates, monitors and joins
 
 @query("select lang, count(*) as n, sum(length(text)) as chars from documents group by lang")
@@ -489,8 +481,10 @@ def join_fuzzy_levenshtein(spark, d):
 @query()
 def join_fuzzy_ratio(spark, d):
     c = table(spark, d, "benchmark")
-    q = c.select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("question"))
-    return retrieval.best_match(q, c.select(F.col("item_id").alias("key"), F.substring("text", 1, 90).alias("stored_question")))
+    q = c.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    # The best of all others: an item is not its own match.
+    others = lambda a, b: F.when(F.col("qid") != F.col("key"), retrieval.sequence_ratio(a, b)).otherwise(F.lit(-1.0))
+    return retrieval.best_match(q, c.select(F.col("item_id").alias("key"), F.col("text").alias("stored_question")), 0.3, others)
 
 
 @query()

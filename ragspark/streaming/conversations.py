@@ -40,3 +40,15 @@ def live_counts(rows: DataFrame, by: str) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Extension: tumbling windows with late data up to ``delay``."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def parse_progress(messages: DataFrame) -> DataFrame:
+    """Adds step, total and loss, read from a job's messages; null where a message has none."""
+    number = lambda pattern, kind: F.nullif(F.regexp_extract("message", pattern, 1), F.lit("")).cast(kind)
+    return messages.withColumn("step", number(r"(?i)step\s+(\d+)\s*/", "int")).withColumn("total", number(r"(?i)step\s+\d+\s*/\s*(\d+)", "int")).withColumn("loss", number(r"(?i)loss\s*[=:]\s*([0-9.]+)", "double"))
+
+
+def job_progress(events: DataFrame, since: str, delay: str = "10 minutes") -> DataFrame:
+    """Furthest step and least loss of each job (job_id, ts, message) from events newer than ``since``; the step never falls."""
+    newer = parse_progress(events.filter(F.col("ts") > F.lit(since).cast("timestamp"))).withWatermark("ts", delay)
+    return newer.groupBy("job_id").agg(F.max("step").alias("step"), F.max("total").alias("total"), F.min("loss").alias("loss"))

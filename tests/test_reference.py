@@ -1,7 +1,7 @@
 import pytest
 from compare import differs
 
-from ragspark.plans.reference import ORACLE_SQL, QUERIES
+from ragspark.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
