@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -108,26 +109,40 @@ def chunk_fixed(docs: DataFrame, size: int = 1500, overlap: int = 300) -> DataFr
     return rows.select("doc_id", "chunk_index", "total_chunks", F.substring("text", F.col("chunk_index") * step + 1, F.lit(size)).alias("chunk"))
 
 
-def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the first separator that occurs, else at finer ones; neighbours share up to ``overlap``."""
-    sep = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(sep) + 1 :] if sep in separators else []
-    parts: list[str] = []
-    for part in text.split(sep) if sep else list(text):
-        parts += [part] if len(part) <= size or not finer else split_text(part, size, overlap, finer)
+def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
+    """Neighbouring pieces put together up to ``size`` characters; each text begins with up to ``overlap`` of the one before."""
     out: list[str] = []
-    held: list[str] = []
-    for part in parts:
-        while held and len(sep.join([*held, part])) > size:
-            if not out or out[-1] != sep.join(held):
-                out.append(sep.join(held))
-            held = held[1:]
-            while held and len(sep.join(held)) > overlap:
-                held = held[1:]
-        held.append(part)
+    held: deque[str] = deque()
+    total = 0
+    for piece in pieces:
+        if held and total + len(piece) > size:
+            out.append("".join(held))
+            while held and (total > overlap or total + len(piece) > size):
+                total -= len(held.popleft())
+        held.append(piece)
+        total += len(piece)
     if held:
-        out.append(sep.join(held))
-    return [x for x in (p.strip() for p in out) if x]
+        out.append("".join(held))
+    return [x for x in (t.strip() for t in out) if x]
+
+
+def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+    """Texts of at most ``size`` characters, cut before the first separator that occurs; pieces that are too long are cut by finer ones on their own."""
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), None)
+    if at is None or separators[at] == "":
+        return _merged(list(text) if at is not None else [text], size, overlap)
+    sep = separators[at]
+    first, *rest = text.split(sep)
+    out: list[str] = []
+    short: list[str] = []
+    for piece in [first, *(sep + x for x in rest)]:
+        if len(piece) < size:
+            short += [piece] if piece else []
+            continue
+        out += _merged(short, size, overlap)
+        short = []
+        out += split_text(piece, size, overlap, separators[at + 1 :]) if separators[at + 1 :] else [piece]
+    return out + _merged(short, size, overlap)
 
 
 def chunk_recursive(docs: DataFrame, profile: str = "web") -> DataFrame:

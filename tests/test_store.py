@@ -38,4 +38,4 @@ def test_scan_folder(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(body.getvalue())
     (tmp_path / "c.docx").write_bytes(b"broken")
     got = {r.file_name: r for r in files.scan_folder(spark, str(tmp_path)).collect()}
-    assert got["a.txt"].text == "hé" and got["b.docx"].text == "Title" and got["c.docx"].text == "" and got["c.docx"].error
+    assert got["a.txt"].text == "hé" and got["b.docx"].text == "Word document: b.docx\nContains structured text and formatting information\nTitle" and got["c.docx"].text == "" and got["c.docx"].error
