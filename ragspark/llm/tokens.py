@@ -10,7 +10,6 @@ the cut would not be safe), and texts that spell one of the vocabulary's added t
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +52,7 @@ class Encoder:
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
         # A text that spells an added token, such as <|endoftext|>, gets that token's id, and is encoded whole.
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added), re.I) if added else None
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # Where the vocabulary folds case, pieces that differ in ASCII case share an entry.
         self.values = LOWER_VALUES if "Lowercase" in str(self.tokenizer.normalizer) else BYTE_VALUES
@@ -102,9 +100,12 @@ class Encoder:
         long_row = np.zeros(n_rows, bool)
         long_row[row[ends - starts > MAX_PIECE]] = True
         raw = data.tobytes()
-        if self.added:
-            for found in self.added.finditer(raw):
-                whole_row[np.searchsorted(offsets, [found.start(), found.end() - 1], "right") - 1] = True
+        folded = raw.lower()
+        for token in self.added:
+            at = folded.find(token)
+            while at >= 0:
+                whole_row[np.searchsorted(offsets, at, "right") - 1] = True
+                at = folded.find(token, at + 1)
         keys = spans_hash(prefix_hash(data, self.values), starts, ends)
         by_piece = ~whole_row[row]
         long_piece = by_piece & (ends - starts > MAX_PIECE)
