@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 #: Scores are compared after rounding, so near ties rank alike everywhere; then the smaller id wins.
 DIGITS = 6
-#: Queries scored in one pass over the store: every task holds them.
-MAX_QUERIES = 10_000
+#: Queries scored in one pass over the store: every task holds them. More are met in blocks.
+MAX_QUERIES = 5_000
+#: Vectors of a query block and of a store block, which one task holds together, and rows multiplied at once.
+QUERY_BLOCK, STORE_BLOCK, STRIP = 2_000, 50_000, 4_096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -59,21 +61,45 @@ def _block_scores(ids: np.ndarray, vectors: np.ndarray, k: int):
     return run
 
 
-def batch_top_k(store: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
+def _in_blocks(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each block of the store for each query: every block of queries meets every block of the store in a task of its own."""
+    n_store = max(store.sparkSession.sparkContext.defaultParallelism, -(-store.count() // STORE_BLOCK))
+    n_query = -(-queries.count() // QUERY_BLOCK)
+
+    def dealt(rows: DataFrame, id_: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(id_, "embedding"), F.lit(n)).alias(own)
+        return rows.select(id_, "embedding", F.size("embedding").alias("dim"), block, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("dim", "s", "q")
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        vectors = right["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(right.num_rows, -1)
+        strips = left.select(["vec_id", "embedding"]).to_batches(max_chunksize=STRIP)
+        return pa.Table.from_batches(list(_block_scores(right["qid"].to_numpy(), vectors, k)(iter(strips))))
+
+    met = dealt(store, "vec_id", "s", n_store, "q", n_query).cogroup(dealt(queries, "qid", "q", n_query, "s", n_store))
+    return met.applyInArrow(cell, "qid long, vec_id long, score double")
+
+
+def batch_top_k(store: DataFrame, queries: DataFrame, k: int = 25, most: int | None = None) -> DataFrame:
     """(qid, vec_id, score, rank): the k best rows for each query (qid, embedding).
 
-    The store is never shuffled: a block of it is multiplied with all vectors of a block of queries at once, each
-    passes on its own k best, and only those meet. Queries beyond MAX_QUERIES take further passes over the store.
+    Up to ``most`` queries (MAX_QUERIES) are held by every task and the store is not shuffled: a block of it is multiplied with all of
+    them at once. More queries stay distributed: both sides are dealt to blocks and each pair of blocks meets in one task.
+    Either way a block passes on its own k best, and only those meet. Null vectors match nothing.
     """
-    passes = -(-queries.count() // (MAX_QUERIES // 2))
-    scored = store.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
-    for i in range(passes):
-        got = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).select(F.col("qid").cast("long").alias("qid"), "embedding").collect()  # about MAX_QUERIES / 2
-        if got:
-            ids = np.array([r["qid"] for r in got], np.int64)
-            vectors = np.array([r["embedding"] for r in got], np.float64)
-            rows = store.filter(F.size("embedding") == vectors.shape[1]).select(F.col("vec_id").cast("long"), "embedding")
-            scored = scored.unionByName(rows.mapInArrow(_block_scores(ids, vectors, k), "qid long, vec_id long, score double"))
+    most = MAX_QUERIES if most is None else most
+    rows = store.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.filter(F.col("embedding").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "embedding")
+    held = asked.limit(most + 1).collect()
+    if len(held) > most:
+        scored = _in_blocks(rows, asked, k)
+    else:
+        scored = store.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
+        for dim in sorted({len(r["embedding"]) for r in held}):
+            same = [r for r in held if len(r["embedding"]) == dim]
+            ids, vectors = np.array([r["qid"] for r in same], np.int64), np.array([r["embedding"] for r in same], np.float64)
+            scored = scored.unionByName(rows.filter(F.size("embedding") == dim).mapInArrow(_block_scores(ids, vectors, k), "qid long, vec_id long, score double"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
