@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,20 +21,23 @@ MAX_QUERIES = 5_000
 QUERY_BLOCK, STORE_BLOCK, STRIP = 2_000, 50_000, 4_096
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays in double precision; 0.0 if either norm is 0."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
 
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+
+def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
+    """Cosine similarity of two arrays in double precision; 0.0 if either norm is 0. ``norm_b`` spares b's norm in every row."""
+    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norms = _norm(a) * (_norm(b) if norm_b is None else norm_b)
+    return F.when(norms == 0, F.lit(0.0)).otherwise(dot / norms)
 
 
 def top_k(store: DataFrame, query: list[float], k: int = 4, where: Column | None = None) -> DataFrame:
     """The k best rows of a store (vec_id, embedding, ...) for one query vector, with their score."""
     rows = store if where is None else store.filter(where)
     rows = rows.filter(F.size("embedding") == len(query))
-    scored = rows.withColumn("score", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query))), DIGITS))
+    norm = F.lit(math.hypot(*query))
+    scored = rows.withColumn("score", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query)), norm), DIGITS))
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
