@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
+from . import classifier, decontaminate, divergence, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op4_license_scan, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding, op10_quality_classifier)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op4_license_scan, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding, op10_quality_classifier, op11_source_divergence)}
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -115,4 +119,20 @@ t as (select doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' order b
 c as (select doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed from spans group by doc_id)
 select doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(t.h)) as kept_sha256
 from d join t using (doc_id) left join c using (doc_id)""",
+    # Every term against every source of its language.
+    "op11_source_divergence": rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER.format("coalesce(text, '')")} as t from documents),
+o as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as n from o group by lang, term having count(distinct r) >= {divergence.MIN_DOCS}),
+l as (select lang, count(*) as v, sum(n)::bigint as n from k group by lang),
+c as (select lang, source, term, count(*) as n from o semi join k using (lang, term) group by all),
+g as (select lang, source, coalesce(any_value(l.v), 0) as v, coalesce((select sum(n) from c where c.lang = d.lang and c.source = d.source), 0)::bigint as n from d left join l using (lang) group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + ({divergence.SCALE}::hugeint * (coalesce(c.n, 0) + 1)) // (g.n + g.v) as p, 1 + ({divergence.SCALE}::hugeint * (k.n + 1)) // (l.n + l.v) as q
+ from g join k on g.lang = k.lang join l on l.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from p where n > 0 and p > q),
+r as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from every
+ union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from terms)
+select * from r where part = 'pair' or rank <= {divergence.TOP}""",
 }
