@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, divergence, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
+from . import classifier, decontaminate, divergence, hnsw, lexical, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op4_license_scan, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding, op10_quality_classifier, op11_source_divergence)}
+def op12_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_wavelet_tokens, op4_license_scan, op5_minhash_near_dedup, op6_best_fit_packing, op7_suffix_dedup, op8_benchmark_decontamination, op9_histogram_sharding, op10_quality_classifier, op11_source_divergence, op12_hnsw_neighbours, op13_tiered_search)}
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -135,4 +143,15 @@ terms as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as
 r as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from every
  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from terms)
 select * from r where part = 'pair' or rank <= {divergence.TOP}""",
+    # Every document against every item.
+    "op13_tiered_search": rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+n as (select r, doc_id, len(ts)::bigint as n from d where len(ts) > 0),
+s as (select count(*)::bigint as docs, sum(n)::bigint as words from n),
+o as (select r, term, count(*)::bigint as tf from (select r, unnest(ts) as term from d) group by all),
+i as (select item_id, it, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from (select *, row_number() over () as it from benchmark)),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from o, s where term in (select term from i) group by term, docs),
+x as (select it, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))))::bigint as score from i join w using (term) join o using (term) join n using (r), s group by all),
+k as (select *, row_number() over (partition by it order by score desc, doc_id nulls first)::int as rank from x where score > 0)
+select item_id, rank, doc_id, score from k where rank <= {lexical.K}""",
 }
