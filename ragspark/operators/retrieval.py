@@ -1,13 +1,9 @@
-"""Retrieval assembly (RET-01..08, JOIN-01): routing, de-duplication, cited context, fuzzy best match."""
+"""Retrieval assembly (RET-01..08): routing, de-duplication, cited context."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Openings of small talk, matched at the start of the lower-cased question.
 OPENINGS = [
@@ -80,34 +76,3 @@ def plain_context(docs: DataFrame, by: str = "qid") -> DataFrame:
 def debug_preview(docs: DataFrame, first: int = 10, chars: int = 200) -> DataFrame:
     text = F.when(F.length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit("..."))).otherwise(F.col("text"))
     return docs.filter(F.col("rank") <= first).select("qid", "rank", F.coalesce("source", F.lit("Unknown")).alias("source"), text.alias("preview"), F.length("text").cast("long").alias("length"))
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity by matching blocks of the lower-cased strings."""
-    return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
-
-
-def best_match(questions: DataFrame, stored: DataFrame, threshold: float = 0.7, ratio=sequence_ratio) -> DataFrame:
-    """The best stored (key, stored_question) of each (qid, question) at the threshold or above; the first key wins ties.
-
-    A string of n characters can reach ratio r with one of m only if 2 * min(n, m) >= r * (n + m), so pairs meet by
-    length band, an equi-join, and those that can't reach the threshold are never scored.
-    """
-    band = 1 - threshold / (2 - threshold)
-    width = max(band, 0.05)
-
-    def bands(c: str) -> Column:
-        return F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / F.log(F.lit(1 / (1 - width)))).cast("int")
-
-    left = questions.withColumn("_b", F.explode(F.array(*[bands("question") + d for d in (-1, 0, 1)])))
-    right = stored.withColumn("_b", bands("stored_question"))
-    pairs = left.join(right, "_b").filter(2 * F.least(F.length("question"), F.length("stored_question")) >= threshold * (F.length("question") + F.length("stored_question")))
-    scored = pairs.withColumn("ratio", F.round(ratio(F.col("question"), F.col("stored_question")), 6)).filter(F.col("ratio") >= threshold)
-    best = Window.partitionBy("qid").orderBy(F.desc("ratio"), "key")
-    return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("qid", "key", "ratio")
-
-
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    return 1 - F.levenshtein(F.lower(a), F.lower(b)) / longest

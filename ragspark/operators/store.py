@@ -1,10 +1,12 @@
-"""Table mutations as copy-on-write frames (SNK-01..16, JOIN-03..05, AGG-13, STA-14..17) and snapshot folders."""
+"""Table mutations as copy-on-write frames (SNK-01..16, JOIN-03..05, AGG-13, STA-14..17) and snapshots."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .transactions import TransactionalStore
+
 
 def upsert_last_writer(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The newest row of each key."""
@@ -96,32 +98,12 @@ def migrate_vectors(rows: DataFrame, dim: int, embed) -> DataFrame:
     return rows.withColumn("copied", fits).withColumn("embedding", made)
 
 
-class SnapshotStore:
-    """A table in versioned Parquet folders: readers keep the version they opened while a new one is written."""
+class SnapshotStore(TransactionalStore):
+    """A table whose every write is a version of its own: readers keep the one they opened, and writers at the same time do not lose each other's rows."""
 
     def __init__(self, spark: SparkSession, path: str, partition_by: str | None = "source"):
-        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by
-
-    def versions(self) -> list[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v="))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1] if version is None else version}")
+        super().__init__(spark, path, partition_by)
 
     def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        writer = df.write.mode("errorifexists")
-        if self.partition_by and self.partition_by in df.columns:
-            writer = writer.partitionBy(self.partition_by)
-        writer.parquet(f"{self.path}/v={version}")
-        return version
-
-    def append(self, df: DataFrame) -> int:
-        return self.write(self.read().unionByName(df, allowMissingColumns=True) if self.versions() else df)
-
-    def replace(self, df: DataFrame, keys: list[str]) -> int:
-        return self.write(replace_by_key(self.read(), df, keys) if self.versions() else df)
+        """The version that has these rows only."""
+        return self.overwrite(df)

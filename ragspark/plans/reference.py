@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragspark.operators import conversation, crawl, feedback, lookup, retrieval, store, text, vector
+from ragspark.operators import conversation, crawl, feedback, fuzzy, lookup, retrieval, store, text, vector
 from ragspark.sources import files, paged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,8 +474,7 @@ def join_fuzzy_levenshtein(spark, d):
     q = s.select(F.col("s_suppkey").alias("qid"), F.col("s_name").alias("question"))
     k = s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("stored_question"))
     # The best of all others: a supplier is not its own match.
-    bands = retrieval.best_match(q, k, 0.7, lambda a, b: F.when(F.col("qid") != F.col("key"), retrieval.levenshtein_ratio(a, b)).otherwise(F.lit(-1.0)))
-    return bands
+    return fuzzy.best_match(q, k, 0.7, fuzzy.LEVENSHTEIN, others_only=True)
 
 
 @query()
@@ -483,8 +482,7 @@ def join_fuzzy_ratio(spark, d):
     c = table(spark, d, "benchmark")
     q = c.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     # The best of all others: an item is not its own match.
-    others = lambda a, b: F.when(F.col("qid") != F.col("key"), retrieval.sequence_ratio(a, b)).otherwise(F.lit(-1.0))
-    return retrieval.best_match(q, c.select(F.col("item_id").alias("key"), F.col("text").alias("stored_question")), 0.3, others)
+    return fuzzy.best_match(q, c.select(F.col("item_id").alias("key"), F.col("text").alias("stored_question")), 0.3, others_only=True)
 
 
 @query()

@@ -11,17 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of our own, where the session names none.
+_own: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. A folder of our own, removed at exit, only where that is unset and the master
     is local, as in tests; elsewhere executors could not read it, so it is refused."""
+    global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="ragspark-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        found = f"file://{path}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if _own is None:
+            path = tempfile.mkdtemp(prefix="ragspark-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            _own = f"file://{path}"
+        found = _own
     return found.rstrip("/")
 
 
