@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, partitions
 
 SHARD = 4_096
 QUERY_BLOCK = 1_024
@@ -180,7 +180,10 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD, links: int = LINKS)
     few = materialize(few)
     shards = few.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
     dealt = few.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
-    return materialize(dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInArrow(_build(links), INDEX))
+    # By number, so that shards are not put together by their bytes: the work is in the graphs.
+    n = shards.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.select("dim", "shard", "vec_id", "vector").repartition(max(n, partitions(rows.sparkSession)), "dim", "shard")
+    return materialize(dealt.groupBy("dim", "shard").applyInArrow(_build(links), INDEX))
 
 
 def _levels(row: dict, links: int) -> list[tuple[np.ndarray, np.ndarray]]:
