@@ -1,16 +1,16 @@
 """Operator 9, sharding by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours. Splitters of that order are
+Rows are ordered by (hash of the text, doc_id, row number), so equal texts are neighbours. Splitters of that order are
 found by counting, in rounds, the exact bytes and rows below candidate boundaries over all partitions and
 probing finer only inside the interval that holds each target; at a text's edge if one is within tolerance,
-else inside the group, by doc_id, all such groups in the same rounds. Then rows are exchanged once, into buckets of whole key ranges.
+else inside the group, by doc_id, and among rows equal in both by row number, all such groups in the same rounds. Then rows are exchanged once, into buckets of whole key ranges.
 
 The law is ``bytes``: shards of near equal size. What reaches the driver is one row a probe interval,
 whose number depends on the shard count alone. Rounds end when every splitter is within ``tolerance``
 of its target or can't be refined.
 
-Defined cases: null text has size 1 and crc of the empty text; equal rows are kept; a null doc_id sorts
-first in its group; an empty table gives an empty table; fewer rows than shards leaves shards empty.
+Defined cases: null text has size 1 and crc of the empty text; equal rows are kept and may lie in several shards, as any
+group of equal texts may that is too large for one; a null doc_id sorts first in its group; an empty table gives an empty table; fewer rows than shards leaves shards empty.
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ def _search(rows: DataFrame, column: str, spans: list[_Interval], targets: list[
         open_ = {s for s, t in zip(spans, targets, strict=True) if s.hi - s.lo > 1 and min(t - s.below, s.upto - t) > slack}
         if not open_:
             return spans
-        width = max(1, -(-max(s.hi - s.lo for s in open_) // probes))
+        # A power of two, so that the cells of a round lie within those of the rounds before and none straddles two intervals.
+        width = 1 << (-(-max(s.hi - s.lo for s in open_) // probes) - 1).bit_length()
         probes = PROBES
         inside = F.lit(False)
         for s in sorted(open_):
@@ -76,8 +77,8 @@ def _search(rows: DataFrame, column: str, spans: list[_Interval], targets: list[
             spans[i] = found or _Interval(s.group, s.hi - 1, s.hi, s.upto, s.upto)
 
 
-def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """Lowest keys (h, k) of the shards after the first. ``rows`` has h, k, size."""
+def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int, int]]:
+    """Lowest keys (h, k, u) of the shards after the first. ``rows`` has h, k, u, size."""
     total, low, high = rows.agg(F.sum("size"), F.min("h"), F.max("h")).first()
     if not total:
         return []
@@ -86,18 +87,31 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
     out, hot = [], []
     for target, s in zip(targets, _search(rows, "h", [_Interval(None, low, high + 1, 0, total)] * len(targets), targets, slack), strict=True):
         if target - s.below <= slack:
-            out.append((s.lo, _LOW))
+            out.append((s.lo, _LOW, _LOW))
         elif s.upto - target <= slack or s.hi - s.lo > 1:
-            out.append((s.hi, _LOW))
+            out.append((s.hi, _LOW, _LOW))
         else:  # the target lies inside a group of equal texts that is larger than the slack
-            hot.append((target, s))
-    if hot:  # one group a splitter at most
-        within = rows.filter(F.col("h").isin(sorted({s.lo for _, s in hot})))
-        ends = {r["h"]: r for r in within.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect()}
-        spans = [_Interval(s.lo, ends[s.lo]["lo"], ends[s.lo]["hi"] + 1, s.below, s.upto) for _, s in hot]
-        hot_targets = [t for t, _ in hot]
-        for target, s in zip(hot_targets, _search(within, "k", spans, hot_targets, slack, "h"), strict=True):
-            out.append((s.group, s.lo if target - s.below <= s.upto - target else s.hi))
+            hot.append((target, (s.lo,), s))
+    # Inside equal texts by doc_id, and inside rows that are equal in both by the number of the row.
+    for column, rest in (("k", (_LOW,)), ("u", ())):
+        if not hot:
+            break
+        # One group a splitter at most.
+        keys = sorted({key for _, key, _ in hot})
+        group = F.lit(None).cast("long")
+        for i, key in enumerate(keys):
+            same = F.col("h") == F.lit(key[0])
+            group = F.when(same & (F.col("k") == F.lit(key[1])) if len(key) > 1 else same, F.lit(i).cast("long")).otherwise(group)
+        within = rows.withColumn("group", group).filter(F.col("group").isNotNull())
+        ends = {r["group"]: r for r in within.groupBy("group").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()}
+        spans = [_Interval(i, ends[i]["lo"], ends[i]["hi"] + 1, s.below, s.upto) for i, s in ((keys.index(key), s) for _, key, s in hot)]
+        deeper = []
+        for (target, key, _), s in zip(hot, _search(within, column, spans, [t for t, _, _ in hot], slack, "group"), strict=True):
+            if rest and s.hi - s.lo == 1 and min(target - s.below, s.upto - target) > slack:
+                deeper.append((target, (*key, s.lo), s))
+            else:
+                out.append((*key, s.lo if target - s.below <= s.upto - target else s.hi, *rest))
+        hot = deeper
     return sorted(out)
 
 
@@ -105,12 +119,13 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, buckets_per_shard: int = 8,
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW + 1)).alias("k"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    rows = materialize(rows)
+    # Numbers are written once, so that all rounds see the same.
+    rows = materialize(rows.withColumn("u", F.monotonically_increasing_id()))
     cuts = splitters(rows, n_shards * buckets_per_shard, tolerance)
     where = F.lit(0)
     if cuts:
-        keys = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in cuts])
-        where = F.size(F.filter(keys, lambda x: x <= F.struct(F.col("h"), F.col("k"))))
+        keys = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k"), F.lit(u).cast("long").alias("u")) for h, k, u in cuts])
+        where = F.size(F.filter(keys, lambda x: x <= F.struct(F.col("h"), F.col("k"), F.col("u"))))
     rows = rows.withColumn("bucket", where)
     # One row a bucket; their number depends on the shard count alone.
     counts = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -120,7 +135,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, buckets_per_shard: int = 8,
         start[b] = begun
         begun += counts.get(b, 0)
     sizes = rows.sparkSession.createDataFrame([(b, n) for b, n in start.items()], "bucket int, start long")
-    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "k")) - 1)
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "k", "u")) - 1)
     return placed.join(F.broadcast(sizes), "bucket").select(
         "doc_id",
         "size",

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from test_operators import fold, prose
 
-from ragspark.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, wavelet
+from ragspark.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, wavelet
 
 PASSAGE = prose(70, 501)
 OWN = [f"the own line number {i} of a text" for i in range(8)]
@@ -93,3 +93,31 @@ def test_added_tokens(spark):
         plain = Tokenizer.from_file(public_tokenizers.path(name))
         ids = [plain.encode(t or "", add_special_tokens=False).ids + [end] for t in TOKENS]
         assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in enumerate(ids)}
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_sharding_splits_rows_that_are_equal_in_all(spark, doc_id):
+    """Half of the rows are one text of one doc_id, or of none; a law of equal bytes holds for these too."""
+    rows = [(i, prose(1 + i % 9, i)) for i in range(1500)] + [(doc_id, PASSAGE[:60])] * 1500
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = collections.Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    shards = collections.defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r)
+    sizes = [sum(r.size for r in shards[k]) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 8 and all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in shards.values())
+    # No other text is split.
+    by_text = collections.defaultdict(set)
+    for r in got:
+        by_text[r.text_crc32].add(r.shard)
+    assert all(len(k) == 1 for c, k in by_text.items() if c != zlib.crc32(PASSAGE[:60].encode()))
+
+
+def test_decontamination_of_repeated_and_null_ids(spark):
+    item, clean = prose(30, 601), prose(50, 602)
+    rows = [(None, f"{prose(20, 603)} {item} {prose(9, 604)}"), (1, f"{item} {prose(30, 605)}"), (1, clean), (None, clean), (None, item), (2, clean), (None, None), (3, ""), (1, f"{item} {prose(30, 605)}")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item), (None, None)], "item_id long, text string")
+    assert sorted((r.doc_id is None, r.item_id, r.similarity) for r in decontaminate.contaminated(docs, items).collect()) == [(False, 5, 1.0), (True, 5, 1.0)]
+    kept = collections.Counter((r.doc_id, r.text) for r in decontaminate.decontaminate(docs, items).collect())
+    assert kept == collections.Counter({(1, clean): 1, (None, clean): 1, (2, clean): 1, (None, None): 1, (3, ""): 1})
