@@ -15,7 +15,7 @@ changes of order therefore lose nothing; what can be missed is a pair beyond RAD
 
 Defined cases: null or blank texts and items match nothing; an item (and a window) of fewer than five words has
 one shingle, the whole sequence; a document shorter than the item is one window; equal rows and
-repeated ids give one result row per (doc_id, item_id); an empty side gives an empty result.
+repeated ids, null ones too, give one result row per (doc_id, item_id), but are judged text by text: of two texts of one id only those that hold an item go; an empty side gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,30 +110,35 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _cuts(held: DataFrame, items: DataFrame, n_items: int, similarity: float) -> DataFrame:
-    """(doc_id, n, width, start) of the windows that hold a seed of an item and enough weight of the item's shingles.
+    """(row, n, width, start) of the windows that hold a seed of an item and enough weight of the item's shingles.
 
     A shingle counts each time it occurs, so the weight is the shared one at least.
     """
     own = items.select("item_id", "n", "weight", F.map_from_entries("s").alias("own"))
-    rows = held.select("doc_id", "w", F.explode("places").alias("p")).select("doc_id", "w", "p.*").join(_small(own, n_items), ["item_id", "n"])
+    rows = held.select("row", "w", F.explode("places").alias("p")).select("row", "w", "p.*").join(_small(own, n_items), ["item_id", "n"])
     # A window of fewer than five words starts at its only shingle.
-    short = rows.filter(F.col("width") < SHINGLE).select("doc_id", "n", "width", F.explode("at").alias("start"))
+    short = rows.filter(F.col("width") < SHINGLE).select("row", "n", "width", F.explode("at").alias("start"))
     weights = F.transform(shingle_hashes("w", SHINGLE), lambda h: F.coalesce(F.try_element_at("own", h), F.lit(0)))
-    rows = materialize(rows.filter(F.col("width") == SHINGLE).select("doc_id", "n", "width", "at", "weight", F.size("w").alias("size"), weights.alias("m")))
+    rows = materialize(rows.filter(F.col("width") == SHINGLE).select("row", "n", "width", "at", "weight", F.size("w").alias("size"), weights.alias("m")))
     around = f"sequence(greatest(0, p - n + {SHINGLE}), greatest(0, least(p, size - n)))"
     starts = F.expr(f"array_distinct(flatten(transform(at, p -> {around})))")
     shared = f"aggregate(slice(m, x + 1, n - {SHINGLE - 1}), 0L, (t, v) -> t + v)"
     enough = F.expr(f"filter(starts, x -> {shared} * {2 - similarity!r} >= {similarity!r} * weight - 1e-6)")
-    rows = materialize(rows.withColumn("starts", starts)).select("doc_id", "n", "width", F.explode(enough).alias("start"))
+    rows = materialize(rows.withColumn("starts", starts)).select("row", "n", "width", F.explode(enough).alias("start"))
     return short.unionByName(rows)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start, n_words, hamming, similarity): the best window of each document and item that match."""
+def _row() -> Column:
+    """What tells texts of one doc_id, or of none, apart; equal rows are alike."""
+    return F.xxhash64("doc_id", "text")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, doc_id, item_id, start, n_words, hamming, similarity): the best window of each text and item that match."""
     items = materialize(materialize(items_of(benchmark)).dropDuplicates(["item_id", "fp", "n", "weight"]))
     sizes = {r["width"]: r["n"] for r in items.groupBy("width").agg(F.sum(F.size("s")).alias("n")).collect()}  # five rows at most
     n_items = items.count()
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(_row().alias("row"), "doc_id", "text")
     # Seeds: the heaviest shingles until they weigh over (2 - 2 s) / (2 - s) of the item, 1/3 at 0.8.
     spare = (2 - 2 * similarity) / (2 - similarity)
     hits = None
@@ -142,35 +147,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         chosen = F.expr("""aggregate(array_sort(transform(s, x -> struct(-x.w as k, x.h as h))), cast(named_struct('t', 0L, 'hs', array()) as struct<t:bigint,hs:array<bigint>>),
             (a, x) -> case when a.t <= {} * weight then named_struct('t', a.t - x.k, 'hs', array_append(a.hs, x.h)) else a end).hs""".format(repr(spare)))
         seeds = own.withColumn("c", chosen).select("item_id", "n", "c", F.posexplode("g").alias("at", "h")).filter(F.array_contains("c", F.col("h"))).select("item_id", "n", "at", "h")
-        found = docs.select("doc_id", words_of(F.col("text")).alias("w")).withColumn("g", shingle_hashes("w", width)).select("doc_id", F.size("w").alias("size"), F.posexplode_outer("g").alias("pos", "h"))  # outer: else Spark infers size(g) > 0 and computes g once more, below
+        found = docs.select("row", words_of(F.col("text")).alias("w")).withColumn("g", shingle_hashes("w", width)).select("row", F.size("w").alias("size"), F.posexplode_outer("g").alias("pos", "h"))  # outer: else Spark infers size(g) > 0 and computes g once more, below
         found = found.join(_small(seeds, count), "h")
-        found = found.select("doc_id", "item_id", "n", F.lit(width).alias("width"), "pos")
+        found = found.select("row", "item_id", "n", F.lit(width).alias("width"), "pos")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = docs.select("doc_id", F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n"), F.lit(1).alias("width"), F.lit(0).alias("pos")).filter("false")
-    places = hits.groupBy("doc_id", "item_id", "n", "width").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "width", "at")).alias("places"))
+        hits = docs.select("row", F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n"), F.lit(1).alias("width"), F.lit(0).alias("pos")).filter("false")
+    places = hits.groupBy("row", "item_id", "n", "width").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    places = places.groupBy("row").agg(F.collect_list(F.struct("item_id", "n", "width", "at")).alias("places"))
     # Documents with hits grow with the corpus: a merge join at every size.
-    held = materialize(docs.hint("merge").join(places, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "places"))
-    cuts = materialize(_cuts(held, items, n_items, similarity).distinct()).groupBy("doc_id").agg(F.collect_list(F.struct("n", "width", "start")).alias("cuts"))
-    windows = held.select("doc_id", "w").hint("merge").join(cuts, "doc_id")
-    windows = windows.select("doc_id", "w", F.explode("cuts").alias("c")).select("doc_id", "w", "c.*").withColumn("s", _weighted("w", "start", "n", "width")).drop("w")
-    windows = materialize(windows.select("doc_id", "n", "start", "s"))
+    held = materialize(docs.hint("merge").join(places, "row").select("row", "doc_id", words_of(F.col("text")).alias("w"), "places"))
+    cuts = materialize(_cuts(held, items, n_items, similarity).distinct()).groupBy("row").agg(F.collect_list(F.struct("n", "width", "start")).alias("cuts"))
+    windows = held.select("row", "w").hint("merge").join(cuts, "row")
+    windows = windows.select("row", "w", F.explode("cuts").alias("c")).select("row", "w", "c.*").withColumn("s", _weighted("w", "start", "n", "width")).drop("w")
+    windows = materialize(windows.select("row", "n", "start", "s"))
     windows = materialize(windows.filter(F.size("s") > 0).withColumn("fp", fingerprint("s")))
-    near = windows.select("doc_id", "n", "start", "fp", F.explode(_blocks("fp")).alias("b")).select("doc_id", "n", "start", "fp", "b.*")
+    near = windows.select("row", "n", "start", "fp", F.explode(_blocks("fp")).alias("b")).select("row", "n", "start", "fp", "b.*")
     targets = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_neighbours("fp")).alias("b")).select("item_id", "n", "item_fp", "b.*")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = near.join(_small(targets, n_items * NEIGHBOURS), ["n", "block", "value"]).filter(distance <= RADIUS).select("doc_id", "n", "start", "fp", "item_id", "item_fp", distance.alias("hamming")).distinct()
+    near = near.join(_small(targets, n_items * NEIGHBOURS), ["n", "block", "value"]).filter(distance <= RADIUS).select("row", "n", "start", "fp", "item_id", "item_fp", distance.alias("hamming")).distinct()
     sets = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.col("s").alias("item_s"), F.col("weight").alias("item_weight"))
-    pairs = near.join(windows, ["doc_id", "n", "start", "fp"]).join(_small(sets, n_items), ["item_id", "n", "item_fp"])
+    pairs = near.join(windows, ["row", "n", "start", "fp"]).join(_small(sets, n_items), ["item_id", "n", "item_fp"])
     shared = F.expr("aggregate(array_intersect(s, item_s), 0L, (t, x) -> t + x.w)")
     pairs = pairs.withColumn("similarity", 2 * shared / (weight("s") + F.col("item_weight"))).filter(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n", "hamming")).alias("b")
-    return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity")
+    pairs = pairs.groupBy("row", "item_id").agg(best).join(held.select("row", "doc_id").distinct(), "row")
+    return pairs.select("row", "doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, start, n_words, hamming, similarity): the best window of each document and item that match, null ids together."""
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "hamming")).alias("b")
+    by = matches(docs, benchmark, similarity).groupBy("doc_id", "item_id").agg(best)
+    return by.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.n_words", "b.hamming", "b.similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item; same columns."""
     name = free_name(docs, "_leak")
-    leaks = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias(name)).distinct()
-    return docs.hint("merge").join(leaks, F.col("doc_id") == column(name), "left_anti").select(*columns_of(docs))
+    leaks = matches(docs, benchmark, similarity).select(F.col("row").alias(name)).distinct()
+    return docs.hint("merge").join(leaks, _row() == column(name), "left_anti").select(*columns_of(docs))
