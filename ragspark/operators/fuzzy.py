@@ -2,8 +2,8 @@
 
 A text's tokens are its characters and its pairs of neighbouring characters, each with the number of its occurrence, so that sets of
 tokens count as multisets. Texts of a given similarity share a least number of tokens (``Measure``). So only the rarest tokens of each text
-are indexed, one more than may be missing: two texts that are similar enough meet at one of these at least. Where a pair of lengths is so
-short that it need not share any pair of characters, single characters are the tokens.
+are indexed, ``MEETINGS`` more than may be missing: two texts that are similar enough meet at that many of these at least, and only those that
+do are compared. Where a pair of lengths is so short that it need not share any pair of characters, single characters are the tokens.
 
 The similarity asked for falls in steps (``STEPS``), the last being the threshold. A question that has a match at a step is done: every text as
 similar as that has been met, so its best match is among them. Only the others go on to a weaker filter and longer lists.
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from ragspark.tables import discard, materialize
 
 STEPS = (0.95, 0.9, 0.8)
+#: Shared rare tokens that make a pair a candidate, or as many as it has to share, if fewer.
+MEETINGS = 4
 #: Stored texts of one key before its list is split.
 LIST = 2_000
 DIGITS = 6
@@ -106,22 +108,25 @@ def _indexed(texts: DataFrame, frequency: DataFrame) -> DataFrame:
     return texts.join(sets, "id")
 
 
+def _short(measure: Measure, t: float) -> float:
+    """Texts of this length or less need not share a pair of characters with all texts in reach."""
+    return 1 / (measure.pairs(t) * measure.least_size(t)) if measure.pairs(t) > 0 else float("inf")
+
+
 def _postings(texts: DataFrame, measure: Measure, t: float) -> DataFrame:
-    """(id, n, kind, token, at, size): the tokens at one of which any text of similarity t is met; at counts from 0."""
-    pairs, singles, reach = measure.pairs(t), measure.singles(t), measure.reach(t)
-    least = F.col("n") * measure.least_size(t)
-    # Lengths that need no shared pair with some length in reach.
-    short = 1 / (pairs * measure.least_size(t)) if pairs > 0 else float("inf")
-    twos, ones = F.ceil(least * pairs - 1 - 1e-9), F.ceil(least * singles - 1e-9)
-    used = F.when(F.col("kind") == "2", F.col("n") > short).otherwise(F.col("n") * reach <= short)
+    """(id, n, kind, token, at, size, meet): the rarest tokens, at ``meet`` of which any text of similarity t is met; at counts from 0."""
+    short, least = _short(measure, t), F.col("n") * measure.least_size(t)
+    twos, ones = F.ceil(least * measure.pairs(t) - 1 - 1e-9), F.ceil(least * measure.singles(t) - 1e-9)
+    used = F.when(F.col("kind") == "2", F.col("n") > short).otherwise(F.col("n") * measure.reach(t) <= short)
     need = F.greatest(F.lit(1), F.when(F.col("kind") == "2", twos).otherwise(ones))
-    rarest = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))
-    return texts.filter(used).select("id", "n", "kind", F.size("tokens").alias("size"), F.posexplode(rarest).alias("at", "token"))
+    meet = F.least(need, F.lit(MEETINGS)).cast("int")
+    rarest = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + meet).cast("int"))
+    return texts.filter(used).select("id", "n", "kind", F.size("tokens").alias("size"), meet.alias("meet"), F.posexplode(rarest).alias("at", "token"))
 
 
 def candidates(questions: DataFrame, stored: DataFrame, measure: Measure, t: float, longest: int = LIST) -> DataFrame:
     """(q, s): ids of all pairs of indexed texts that may have similarity t or more."""
-    reach = measure.reach(t)
+    reach, short = measure.reach(t), _short(measure, t)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-_log(reach))).cast("int")
     right = _postings(stored, measure, t).withColumn("band", band)
     left = _postings(questions, measure, t).withColumn("band", F.explode(F.array(*[band + d for d in (-1, 0, 1)])))
@@ -133,10 +138,13 @@ def candidates(questions: DataFrame, stored: DataFrame, measure: Measure, t: flo
     size = measure.size(F.col("x.n"), F.col("y.n"))
     need = F.when(F.col("x.kind") == "2", size * measure.pairs(t) - 1).otherwise(size * measure.singles(t))
     # Shared tokens by their places: those before, this one, those after.
-    most = F.least("x.at", "y.at") + 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
+    most = F.least("x.at", "y.at") + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
     lengths = F.least("x.n", "y.n") >= reach * F.greatest("x.n", "y.n") - 1e-9
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & lengths & (most >= need - 1e-9)
-    return x.join(y, on).select(F.col("x.id").alias("q"), F.col("y.id").alias("s")).distinct()
+    # A pair meets by tokens of one kind only.
+    kinds = (F.col("x.kind") == "2") | (F.least("x.n", "y.n") <= F.lit(short))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & lengths & kinds & (most >= need - 1e-9)
+    met = x.join(y, on).groupBy(F.col("x.id").alias("q"), F.col("y.id").alias("s")).agg(F.count(F.lit(1)).alias("c"), F.max(F.least("x.meet", "y.meet")).alias("meet"))
+    return met.filter(F.col("c") >= F.col("meet")).select("q", "s")
 
 
 def _log(x: float) -> float:
