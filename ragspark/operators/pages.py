@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import text
+from . import text, urls
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters of page text that a document or a flat extraction keeps.
@@ -170,9 +170,9 @@ def page_text(pages: DataFrame, payload: str, *keep: str) -> DataFrame:
 
 
 def page_links(url: Column, page: Column, needles: tuple[str, ...] = ()) -> Column:
-    """Distinct absolute links of a page to its own host that hold every needle; links from the root or with a scheme are understood."""
+    """Distinct absolute links of a page to its own host that hold every needle: unquoted, and those relative to the page or its host resolved."""
     root = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]+)", 1)
-    whole = F.transform(text.hrefs(page), lambda h: F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), h).when(h.startswith("/"), F.concat(root, h)))
+    whole = F.transform(text.hrefs(page), lambda h: urls.resolve(url, urls.unquote(h)))
     own = F.filter(whole, lambda h: h.isNotNull() & ((h == root) | h.startswith(F.concat(root, F.lit("/")))))
     for needle in needles:
         own = F.filter(own, lambda h, n=needle: h.contains(n))

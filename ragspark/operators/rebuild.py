@@ -119,9 +119,9 @@ def scan_pages_of_rows(fetch: Callable[[int, int], list[dict]], fetch_one: Calla
     return spark.range(0, total, page, 8).mapInPandas(run, f"offset long, ok boolean, row struct<{fields}>")
 
 
-def snapshot(files: DataFrame, enabled: list[str], path: Column, content: Column, by: str = "source") -> DataFrame:
-    """Fingerprints of the enabled sources."""
-    return store.fingerprint(files.filter(F.col(by).isin(enabled)), by, path, content)
+def snapshot(files: DataFrame, enabled: DataFrame, path: Column, content: Column, by: str = "source") -> DataFrame:
+    """Fingerprints of the sources that ``enabled`` has in its column ``by``, however many."""
+    return store.fingerprint(files.join(enabled.select(by).distinct(), by, "left_semi"), by, path, content)
 
 
 def rebuild_changed(rows: DataFrame, stored: DataFrame, current: DataFrame, documents: DataFrame, by: str = "source") -> DataFrame:

@@ -36,13 +36,16 @@ def resolve(base: Column, reference: Column) -> Column:
     base_path = _part(base, 3)
     folder = F.regexp_replace(base_path, "[^/]*$", "")
     merged = F.when(path.startswith("/"), path).when((folder == "") & (_part(base, 2) != ""), F.concat(F.lit("/"), path)).otherwise(F.concat(folder, path))
+    folded = fold_dots(merged)
+    # More steps up than there are segments end at the root of a host.
+    folded = F.when((_part(base, 2) != "") & ~folded.startswith("/"), F.concat(F.lit("/"), folded)).otherwise(folded)
     # A query mark or fragment mark with nothing after it goes.
     kept = lambda c: F.when(F.length(c) > 1, c).otherwise("")
     lead = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise("")
     own_query = F.when(F.length(query) > 1, query).otherwise(_part(base, 4))
     out = F.when(foreign, reference).when(F.length(host) > 2, F.concat(lead, host, path, kept(query), kept(fragment)))
     out = out.when(path == "", F.concat(lead, _part(base, 2), base_path, kept(own_query), kept(fragment)))
-    out = out.otherwise(F.concat(lead, _part(base, 2), fold_dots(merged), kept(query), kept(fragment)))
+    out = out.otherwise(F.concat(lead, _part(base, 2), folded, kept(query), kept(fragment)))
     return F.when(reference == "", base).when(base == "", reference).otherwise(out)
 
 

@@ -363,9 +363,9 @@ _SOURCE_PRINTS = "(select source, md5(string_agg(part || ':' || digest, '|' orde
 
 def _snapshots(spark, d):
     docs = table(spark, d, "documents")
-    sources = [r[0] for r in docs.select("source").distinct().orderBy("source").limit(100).collect()]
+    enabled = docs.select("source").distinct().filter("source <> 'src2'")
     prints = lambda df: store.fingerprint(df, "source", F.col("doc_id"), F.col("text"))
-    return docs, prints(docs.filter("lang <> 'fr' and source <> 'src1'")), rebuild.snapshot(docs, [s for s in sources if s != "src2"], F.col("doc_id"), F.col("text"))
+    return docs, prints(docs.filter("lang <> 'fr' and source <> 'src1'")), rebuild.snapshot(docs, enabled, F.col("doc_id"), F.col("text"))
 
 
 _REBUILD = f"""with o as {_SOURCE_PRINTS.format("where lang <> 'fr' and source <> 'src1'")}, c as {_SOURCE_PRINTS.format("where source <> 'src2'")},

@@ -53,7 +53,8 @@ class Root(InputPartition):
 
 
 def _ranges(start: int, end: int, size: int) -> list[Range]:
-    return [Range(a, min(a + size, end)) for a in range(start, end, size)]
+    # Spark needs one partition at least.
+    return [Range(a, min(a + size, end)) for a in range(start, end, size)] or [Range(0, 0)]
 
 
 class _Read:
@@ -121,7 +122,7 @@ class JsonPages(DataSource):
 
 class _Links(_Read, DataSourceReader):
     def partitions(self) -> list[Root]:
-        return [Root(a) for a in dict.fromkeys(json.loads(self.options["roots"]))]
+        return [Root(a) for a in dict.fromkeys(json.loads(self.options["roots"]))] or [Root("")]
 
     def read(self, partition: Root) -> Iterator[tuple]:
         server, met, n = _server(self.options), set(), 0

@@ -1,4 +1,4 @@
-"""Streams (STA-02, STA-11..13): conversation windows, polling and monitors as Structured Streaming queries."""
+"""Streams (STA-02, STA-11..13): conversation windows and monitors as Structured Streaming queries; see also ``messages`` and ``polling``."""
 
 from __future__ import annotations
 
@@ -28,9 +28,14 @@ def keep_last(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(_keep, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def watermarked(rows: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarks are of time stamps with a zone only; those without are taken in the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def new_traces(traces: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each trace once, within the watermark: the processed set of a polling loop."""
-    return traces.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["trace_id"])
+    return watermarked(traces, "ts", delay).dropDuplicatesWithinWatermark(["trace_id"])
 
 
 def live_counts(rows: DataFrame, by: str) -> DataFrame:
@@ -39,7 +44,7 @@ def live_counts(rows: DataFrame, by: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Extension: tumbling windows with late data up to ``delay``."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return watermarked(events, "ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def parse_progress(messages: DataFrame) -> DataFrame:
@@ -50,5 +55,5 @@ def parse_progress(messages: DataFrame) -> DataFrame:
 
 def job_progress(events: DataFrame, since: str, delay: str = "10 minutes") -> DataFrame:
     """Furthest step and least loss of each job (job_id, ts, message) from events newer than ``since``; the step never falls."""
-    newer = parse_progress(events.filter(F.col("ts") > F.lit(since).cast("timestamp"))).withWatermark("ts", delay)
+    newer = watermarked(parse_progress(events.filter(F.col("ts") > F.lit(since).cast("timestamp"))), "ts", delay)
     return newer.groupBy("job_id").agg(F.max("step").alias("step"), F.max("total").alias("total"), F.min("loss").alias("loss"))

@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ragspark.operators.transactions import TransactionalStore
 
+from .conversations import watermarked
+
 
 def poll(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Start ``run`` on every batch: all there is and no more, or without end a batch ``every`` so often."""
@@ -66,6 +68,6 @@ def route_late(on_time: TransactionalStore, late: TransactionalStore, name: str,
 def sessions(events: DataFrame, by: str, gap: str = "30 minutes", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """(by, start, end, n): runs of events with no ``gap`` between them; a stream emits a session when the watermark has passed its end."""
     if events.isStreaming:
-        events = events.withWatermark(ts, delay)
+        events = watermarked(events, ts, delay)
     found = events.filter(F.col(ts).isNotNull()).groupBy(by, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return found.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
