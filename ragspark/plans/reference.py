@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragspark.operators import conversation, crawl, feedback, fuzzy, lookup, retrieval, store, text, vector
-from ragspark.sources import files, paged
+from ragspark.sources import datasource, files, paged
+from ragspark.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,10 +80,14 @@ def vec_source_compare(spark, d):
     return vector.compare_sources(table(spark, d, "embeddings"), "label")
 
 
-@query("select * from (values (1, 0.0), (2, 1.0), (3, -1.0)) t(vec_id, score)")
+@query("""with q as (select embedding::double[] as qe from embeddings where vec_id = 0)
+select vec_id, case when label = 3 then 0.0 else round(list_cosine_similarity(embedding::double[], qe), 6) end as score from embeddings, q""")
 def vec_zero_norm(spark, d):
-    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0])], "vec_id int, embedding array<double>")
-    return rows.select("vec_id", F.round(vector.cosine(F.col("embedding"), F.array(F.lit(1.0), F.lit(0.0))), 6).alias("score"))
+    """Vectors of one label are all zeros: their score is 0."""
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id = 0").select("embedding").first()[0]
+    rows = e.select("vec_id", F.when(F.col("label") == 3, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("embedding"))
+    return rows.select("vec_id", F.round(vector.cosine(F.col("embedding"), F.array(*map(F.lit, asked))), 6).alias("score"))
 
 
 @query(f"with {_HITS} select qid, source, count(*) as n from hits join documents on vec_id = doc_id group by qid, source")
@@ -207,10 +212,12 @@ def conv_clear(spark, d):
 
 # --- text
 
-@query("select 1 as id, 'Hello there' || chr(10) || 'Second line' as speech")
+@query("select c_custkey, c_name || ' speaks' || chr(10) || 'from nation ' || c_nationkey as speech from customer")
 def txt_vtt_parse(spark, d):
-    vtt = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\nHello there\n\nNOTE x\n2\n00:00:03.000 --> 00:00:04.000\n Second line \n"
-    return spark.createDataFrame([(1, vtt)], "id int, vtt string").select("id", text.parse_vtt(F.col("vtt")).alias("speech"))
+    cue = "00:00:0{0}.000 --> 00:00:0{0}.900\n"
+    parts = ["WEBVTT\n\n1\n" + cue.format(1) + "  ", F.col("c_name"), " speaks \n\nNOTE ", F.col("c_mktsegment"), "\n2\n" + cue.format(3) + "from nation ", F.col("c_nationkey").cast("string"), "\n"]
+    vtt = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return table(spark, d, "customer").select("c_custkey", text.parse_vtt(vtt).alias("speech"))
 
 
 _LINKS = """select page_id, unnest(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1))) as href from pages"""
@@ -226,16 +233,19 @@ def ext_child_links5(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.slice(F.array_sort(text.hrefs(F.col("html"))), 1, 5)).alias("href"))
 
 
-@query("select * from (values (1, 'http://a.b/c'), (1, 'https://d.e')) t(id, url)")
+@query("""select p_partkey, 'http://a.b/' || p_partkey as url from part union all select p_partkey, 'https://d.e/' || p_size from part""")
 def ext_url_findall(spark, d):
-    rows = spark.createDataFrame([(1, "see http://a.b/c and https://d.e or http://a.b/c"), (2, "none")], "id int, t string")
-    return rows.select("id", F.explode(text.urls(F.col("t"))).alias("url"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    seen = F.concat(F.lit("see http://a.b/"), key, F.lit(" and https://d.e/"), size, F.lit(" or http://a.b/"), key)
+    return table(spark, d, "part").select("p_partkey", F.explode(text.urls(seen)).alias("url"))
 
 
-@query("select * from (values (1, 'feature_matrix'), (2, 'description'), (3, 'migration'), (4, 'general'), (5, 'feature_matrix')) t(id, kind)")
+@query("select p_partkey, case p_partkey % 5 when 0 then 'feature_matrix' when 1 then 'description' when 2 then 'migration' when 3 then 'general' else 'feature_matrix' end as kind from part")
 def ext_table_class(spark, d):
-    rows = spark.createDataFrame([(1, ["Feature", "Yes"]), (2, ["Name", "Description"]), (3, ["Migration path"]), (4, ["A", "B"]), (5, ["Feature", "Notes"])], "id int, headers array<string>")
-    return rows.select("id", text.table_class(F.col("headers")).alias("kind"))
+    k, brand, kind = F.col("p_partkey") % 5, F.col("p_brand"), F.col("p_type")
+    heads = lambda *x: F.array(*[F.lit(h) if isinstance(h, str) else h for h in x])
+    headers = F.when(k == 0, heads("Feature", "Yes", brand)).when(k == 1, heads(brand, "Description")).when(k == 2, heads("Migration path", kind)).when(k == 3, heads(brand, kind)).otherwise(heads("Feature", "Notes"))
+    return table(spark, d, "part").select("p_partkey", text.table_class(headers).alias("kind"))
 
 
 @query("""with r as (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as n, count(*) over (partition by o_custkey) as total, o_orderkey || ' | ' || o_orderstatus as line from orders)
@@ -249,16 +259,19 @@ def ext_table_render(spark, d):
     return by_customer.select("o_custkey", text.render_table(F.lit("orders"), F.array(F.lit("key"), F.lit("status")), F.col("rows"), total=F.col("total")).alias("body"))
 
 
-@query("select * from (values ('a', 1, 'How does the engine start up?', 'It reads tables. Then it runs.'), ('a', 2, 'Where does the result go to?', 'To the caller.')) t(page, faq_number, question, answer)")
+@query("""select p_partkey as page, 1 as faq_number, 'How does the part ' || p_name || ' start up?' as question, 'It is of brand ' || p_brand || '. Then it runs.' as answer from part
+union all select p_partkey, 2, 'Where does the part ' || p_name || ' go to?', 'To the caller.' from part""")
 def ext_faq_paragraph_islands(spark, d):
-    rows = ["Intro", "How does the engine start up?", "It reads tables.", "Then it runs.", "", "stray", "Where does the result go to?", "To the caller."]
-    return text.paragraph_faqs(spark.createDataFrame([("a", i, t) for i, t in enumerate(rows)], "page string, pos int, text string"))
+    of = lambda lead, c="", end="": F.concat(F.lit(lead), F.col(c) if c else F.lit(""), F.lit(end))
+    rows = [of("Intro"), of("How does the part ", "p_name", " start up?"), of("It is of brand ", "p_brand", "."), of("Then it runs."), of(""), of("stray"), of("Where does the part ", "p_name", " go to?"), of("To the caller.")]
+    return text.paragraph_faqs(table(spark, d, "part").select(F.col("p_partkey").alias("page"), F.posexplode(F.array(*rows)).alias("pos", "text")))
 
 
-@query("select 1 as id, 'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || 'v' as body")
+@query("select p_partkey, p_name || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || p_type as body from part")
 def ext_canvas_flatten(spark, d):
-    payload = '{"canvasLayout":{"horizontalSections":[{"columns":[{"webparts":[{"innerHtml":"a"}]},{"webparts":[{"innerHtml":"b"},{"innerHtml":""}]}]}],"verticalSection":{"webparts":[{"innerHtml":"v"}]}}}'
-    return spark.createDataFrame([(1, payload)], "id int, p string").select("id", text.flatten_canvas(F.col("p")).alias("body"))
+    parts = ['{"canvasLayout":{"horizontalSections":[{"columns":[{"webparts":[{"innerHtml":"', F.col("p_name"), '"}]},{"webparts":[{"innerHtml":"', F.col("p_brand"), '"},{"innerHtml":""}]}]}],"verticalSection":{"webparts":[{"innerHtml":"', F.col("p_type"), '"}]}}}']
+    payload = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return table(spark, d, "part").select("p_partkey", text.flatten_canvas(payload).alias("body"))
 
 
 @query("""with p as (select doc_id, text, greatest(ceil((length(text) - 300) / 1200.0), 1)::int as n from documents where length(text) > 0),
@@ -298,10 +311,14 @@ def crawl_bfs_depth(spark, d):
     return crawl.walk(edges, spark.createDataFrame([(1,)], "node long"))
 
 
-@query("select * from (values ('a.pdf', 'u1', 'pdf', 1.0::double), ('b.DOCX', 'u2', 'docx', 2.44::double)) t(name, url, file_type, file_size_kb)")
+@query("""with f as (select 'f' || doc_id || case doc_id % 5 when 0 then '.pdf' when 1 then '.DOCX' when 2 then '.png' when 3 then '.txt' else '' end as name, n_chars * 4096 as size, 'u' || doc_id // 3 as url from documents),
+e as (select *, case when contains(name, '.') then lower(regexp_extract(name, '[.](.*)$', 1)) else '' end as file_type from f)
+select name, url, file_type, n as file_size_kb from (select *, size::double / 1024 as n, row_number() over (partition by url order by name) as r from e where file_type in ('pdf', 'docx', 'txt') and size <= 52428800) where r = 1""")
 def src_eligible_files(spark, d):
-    rows = [("a.pdf", 1024, "u1"), ("z.pdf", 10, "u1"), ("b.DOCX", 2500, "u2"), ("c.png", 5, "u3"), ("d.txt", 60 << 20, "u4")]
-    return crawl.eligible(spark.createDataFrame(rows, "name string, size long, url string")).select("name", "url", "file_type", "file_size_kb")
+    k = F.col("doc_id") % 5
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(k == 0, ".pdf").when(k == 1, ".DOCX").when(k == 2, ".png").when(k == 3, ".txt").otherwise(""))
+    files_ = table(spark, d, "documents").select(name.alias("name"), (F.col("n_chars") * 4096).alias("size"), F.concat(F.lit("u"), F.expr("doc_id div 3").cast("string")).alias("url"))
+    return crawl.eligible(files_).select("name", "url", "file_type", "file_size_kb")
 
 
 @query("select source_type, count(*) as n from (select 'web' as source_type from pages union all select 'doc' from documents) group by source_type")
@@ -561,16 +578,26 @@ def src_recordings_first3(spark, d):
     return lookup.by_suffix([_recordings(spark, d)], [".vtt", ".docx"], 3).select("doc_id", "name")
 
 
-@query("select * from (values (1::bigint, 0, 'a1'), (1, 1, 'b1'), (2, 0, 'a2'), (2, 1, 'b2')) t(page, pos, item)")
+@query("""select c_custkey // 100 + 1 as page, (c_custkey % 100)::int as pos, c_name as item from customer where c_custkey // 100 < (select max(c_custkey) // 100 // 2 from customer)""")
 def src_paged_items(spark, d):
-    answers = {1: '["a1","b1"]', 2: '["a2","b2"]', 3: "[]", 4: '["never read"]'}
-    return paged.items_of_pages(paged.fetch_pages(spark, answers.__getitem__, 1, 5))
+    """Pages of 100 customers, fetched in tasks; the page at half of the listing is empty and ends it."""
+    c = table(spark, d, "customer")
+    last = c.agg(F.expr("max(c_custkey) div 100")).first()[0]
+    names = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]))
+    pages = c.groupBy(F.expr("c_custkey div 100").alias("n")).agg(names.alias("body"))
+    path = new_path(spark, "served")
+    datasource.write_payloads(pages.select((F.col("n") + 1).alias("address"), F.when(F.col("n") == last // 2, "[]").otherwise(F.col("body")).alias("payload")), path)
+    return paged.items_of_pages(paged.fetch_pages(spark, lambda page: datasource.Folder({"path": path}).fetch(str(page)), 1, last + 2))
 
 
-@query("select * from (values (1, 'p/1', 'x'), (2, 'p/2', 'y'), (3, 'p/3', 'z')) t(n, address, payload)")
+@query("select (s_suppkey // 2 + 1)::int as n, 'p/' || s_suppkey as address, s_name as payload from supplier where s_suppkey % 2 = 0")
 def src_next_links(spark, d):
-    pages = [("p/2", "y", "p/3"), ("p/1", "x", "p/2"), ("p/9", "stray", None), ("p/3", "z", "p/1")]
-    return paged.follow_links(spark.createDataFrame(pages, "address string, payload string, next string"), "p/1")
+    """Pages of every other supplier, each naming the next and the last the first; the others are strays."""
+    s = table(spark, d, "supplier")
+    last = s.agg(F.max("s_suppkey")).first()[0]
+    of = lambda c: F.concat(F.lit("p/"), c.cast("string"))
+    then = F.when(F.col("s_suppkey") % 2 == 0, of(F.when(F.col("s_suppkey") + 2 <= last, F.col("s_suppkey") + 2).otherwise(0)))
+    return paged.follow_links(s.select(of(F.col("s_suppkey")).alias("address"), F.col("s_name").alias("payload"), then.alias("next")), "p/0")
 
 
 @query("""with s as (select conv_id as user_id, count(*) as messages from conversations group by 1),
@@ -591,9 +618,17 @@ def snk_full_refresh(spark, d):
     return store.full_refresh(old, new, "de")
 
 
-@query("""select * from (values ('u1', 0, 'a'), ('u1', 1, '{"q":1}'), ('u2', 0, '{"k":"v"}'), ('u3', 0, '7')) t(user_id, pos, item)""")
+@query("""with c as (select conv_id, count(*) as n from conversations group by 1)
+select 'u' || conv_id as user_id, (row_number() over (partition by conv_id order by turn) - 1)::int as pos, role as item from conversations where conv_id % 3 = 0
+union all select 'u' || conv_id, 0, case conv_id % 3 when 1 then '{"k":' || n || '}' else n::varchar end from c where conv_id % 3 > 0""")
 def snk_flatten_users(spark, d):
-    return store.flatten_users(spark.createDataFrame([('{"u1":["a",{"q":1}],"u2":{"k":"v"},"u3":7}',)], "payload string"))
+    """Objects of up to three users each: one has a list, one a dict, one a number."""
+    roles = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(roles.alias("roles"), F.count(F.lit(1)).cast("string").alias("n"))
+    value = F.when(F.col("conv_id") % 3 == 0, F.col("roles")).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('{"k":'), "n", F.lit("}"))).otherwise(F.col("n"))
+    entry = F.concat(F.lit('"u'), F.col("conv_id").cast("string"), F.lit('":'), value)
+    maps = c.groupBy(F.expr("conv_id div 3").alias("g")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("payload"))
+    return store.flatten_users(maps.select("payload"))
 
 
 @query("""select label, count(*) as n, count(*) filter (label <> 3) as n_copied, count(*) filter (label = 3) as n_made, count(*) filter (label = 3 and doc_id is null) as n_blank
