@@ -9,12 +9,13 @@ import threading
 
 from pyspark.sql import functions as F
 
-from ragspark.operators import fuzzy, timejoin, urls
+from ragspark.operators import fuzzy, ingest, sketches, timejoin, udtfs, urls
 from ragspark.operators.transactions import TransactionalStore, rebuild_with_backup
 from ragspark.sources import datasource
 from ragspark.streaming import messages, polling
 from ragspark.tables import new_path
 
+from .extended import _html_pages
 from .reference import query, table
 
 # --- the most similar other text
@@ -230,3 +231,66 @@ def sca_urljoin(spark, d):
     k = F.col("page_id") % 6
     ref = F.when(k == 0, "/x/./y").when(k == 1, "a?b=1#c").when(k == 2, "../up").when(k == 3, "//other.example/z").when(k == 4, "?q=2").otherwise("j/../k/.")
     return p.select("page_id", urls.resolve(F.col("url"), ref).alias("link"))
+
+
+# --- files, maps, sketches, table functions
+
+
+@query("""with f as (select lang || '-' || source as file_name, max(length(text)) as longest, count(*) as n from documents group by 1)
+select file_name, n as n_chunks, longest <= 25000 as stored, case when longest <= 25000 then n else 1 end as n_now from f""")
+def snk_store_files(spark, d):
+    """Texts as chunks of files, one for each language and source. A text over 25,000 characters can't be embedded: its file keeps its one old chunk."""
+    docs = table(spark, d, "documents").select(F.concat_ws("-", "lang", "source").alias("file_name"), "text")
+    store = TransactionalStore(spark, new_path(spark, "store"))
+    store.append(docs.select("file_name").distinct().select("file_name", F.lit("old").alias("text"), F.array(F.lit(0.0)).alias("embedding")))
+
+    def embed(text):
+        if len(text) > 25_000:
+            raise ValueError("too long for the model")
+        return [len(text), text.count(" ")]
+
+    log = ingest.store_files(store, docs, embed)
+    now = store.read().groupBy("file_name").agg(F.count(F.lit(1)).alias("n_now"))
+    return log.join(now, "file_name").select("file_name", "n_chunks", (F.col("status") == "stored").alias("stored"), "n_now")
+
+
+@query("select count(distinct conv_id) + 1 as n_users, count(*) as n_messages from conversations")
+def agg_user_maps(spark, d):
+    """Stored maps of up to five users each, and one of a user without messages."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    entry = F.concat(F.lit('"u'), F.col("conv_id").cast("string"), F.lit('":{"messages":'), "m", F.lit("}"))
+    maps = c.groupBy(F.expr("conv_id div 5").alias("g")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("payload")).select("payload")
+    return ingest.stored_conversations(maps.unionByName(table(spark, d, "region").agg(F.lit('{"silent":{}}').alias("payload"))))
+
+
+@query("""select p_partkey, case when p_partkey % 2 = 0 then 'size ' || p_size else p_type end as kind, case when p_partkey % 2 = 0 then p_name else 'none' end as name, p_brand as brand, case when p_partkey % 2 = 0 then 3 else 2 end as n from part""")
+def sca_map_merge(spark, d):
+    lit = F.lit
+    first = F.create_map(lit("brand"), F.col("p_brand"), lit("kind"), F.col("p_type"))
+    then = F.when(F.col("p_partkey") % 2 == 0, F.create_map(lit("kind"), F.concat(lit("size "), F.col("p_size").cast("string")), lit("name"), F.col("p_name")))
+    both = table(spark, d, "part").select("p_partkey", ingest.merged(first, then).alias("m"))
+    return both.select("p_partkey", *[ingest.get_or(F.col("m"), lit(k), lit("none")).alias(k) for k in ("kind", "name", "brand")], F.size("m").alias("n"))
+
+
+@query("select event_type, count(*) as n, true as ids_close, true as median_close from events group by 1")
+def mon_merged_sketches(spark, d):
+    """Daily polls of each type merged over all days, held against exact distinct users and the exact rank of the median, within three deviations."""
+    e = table(spark, d, "events")
+    merged = sketches.merged(sketches.polled(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value"), ["event_type"])
+    merged = merged.select("event_type", "n", sketches.n_ids().alias("ids"), sketches.quantile(0.5).alias("median"))
+    rank = F.avg((F.col("value") <= F.col("median")).cast("double"))
+    exact = e.join(merged.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), rank.alias("rank"))
+    near = F.abs(F.col("ids") - F.col("users")) <= F.greatest(F.lit(0.5), 3 * sketches.ID_ERROR * F.col("users"))
+    return merged.join(exact, "event_type").select("event_type", "n", near.alias("ids_close"), (F.abs(F.col("rank") - 0.5) <= 3 * sketches.RANK_ERROR).alias("median_close"))
+
+
+@query("""select 'https://h.example/p/' || p_partkey || '?x=1' as url, 'faq' as kind, 'Which type does the part named ' || p_name || ' have?' as head, 'It is of type ' || p_type || ', as listed.' as body from part
+union all select 'https://h.example/p/' || p_partkey || '?x=1', 'table', 'Feature/Yes or no', p_brand || '/' || p_size from part
+union all select 'https://h.example/p/' || p_partkey || '?x=1', 'section', p_brand, 'of type ' || p_type from part""")
+def ext_table_functions(spark, d):
+    udtfs.register(spark)
+    pages = _html_pages(spark, d)
+    notes = table(spark, d, "part").select(F.concat(F.lit("https://h.example/p/"), F.col("p_partkey").cast("string"), F.lit("?x=1")).alias("url"), F.concat(F.lit("\n## "), "p_brand", F.lit(" ##\n\nof type "), "p_type", F.lit("\n")).alias("note"))
+    return spark.sql("""select p.url, 'faq' as kind, t.question as head, t.answer as body from {pages} p, lateral page_faqs(p.html) t
+        union all select p.url, 'table', array_join(t.headers, '/'), array_join(flatten(t.cells), '/') from {pages} p, lateral page_tables(p.html) t
+        union all select p.url, 'section', t.heading, t.body from {notes} p, lateral page_sections(p.note) t""", pages=pages, notes=notes)

@@ -76,3 +76,12 @@ def test_texts_of_one_length_do_not_all_meet(spark):
 def test_empty(spark):
     q, s = spark.createDataFrame([], "qid long, question string"), spark.createDataFrame([(1, "a")], "key long, stored_question string")
     assert fuzzy.best_match(q, s).count() == 0 and fuzzy.best_match(s.toDF("qid", "question"), q.toDF("key", "stored_question")).count() == 0
+
+
+def test_query_against_all_pairs(spark):
+    """The registered query without SQL, over its whole table."""
+    from ragspark.plans import QUERIES
+
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
+    got = {(r.qid, r.key, r.ratio) for r in QUERIES["join_fuzzy_ratio"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute(items, items, RATIOS[fuzzy.SEQUENCE], 0.3, True)
