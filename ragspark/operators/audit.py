@@ -1,4 +1,4 @@
-"""Audits and monitors (AGG-06, AGG-14..17, ORD-02): counts across tables, changes between polls, page and citation checks."""
+"""Audits and monitors (AGG-06..08, AGG-14..17, ORD-02): counts across tables, changes between polls, page and citation checks."""
 
 from __future__ import annotations
 
@@ -17,6 +17,17 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()))
 
 
+def type_counts(rows: DataFrame, by: str, source_type: str) -> DataFrame:
+    """(by, n) of the rows of one source_type, the most frequent first, equal ones by name."""
+    return rows.filter(F.col("source_type") == source_type).groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by)
+
+
+def crawl_summary(documents: DataFrame) -> DataFrame:
+    """One row over page documents (page_url, content_type, content): pages, documents of each type, characters."""
+    kinds = [F.count_if(F.col("content_type") == k).alias(f"n_{k}") for k in ("faq", "table", "text")]
+    return documents.agg(F.count_distinct("page_url").alias("n_pages"), F.count(F.lit(1)).alias("n_documents"), *kinds, F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("chars"))
+
+
 def latest(rows: DataFrame, order: str, n: int = 100) -> DataFrame:
     """The n newest rows, a report's size."""
     return rows.orderBy(F.desc(order)).limit(n)

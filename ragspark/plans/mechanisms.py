@@ -9,7 +9,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from ragspark.operators import fuzzy, ingest, sketches, timejoin, udtfs, urls
+from ragspark.operators import audit, crawl, fuzzy, ingest, pages, sketches, timejoin, udtfs, urls
 from ragspark.operators.transactions import TransactionalStore, rebuild_with_backup
 from ragspark.sources import datasource
 from ragspark.streaming import messages, polling
@@ -55,9 +55,9 @@ def src_paged_source(spark, d):
     rows = o.groupBy(F.expr("o_orderkey div 500").alias("n")).agg(body.alias("body"))
     path = _serve(rows.select((F.col("n") + 1).alias("address"), F.when(F.col("n") == cut, F.substring("body", 1, 9)).otherwise(F.col("body")).alias("payload")))
     last = rows.count() + 3
-    pages = spark.read.format("json_pages").options(server=_SERVER, path=path, last=last, pages_per_task=4).load()
+    read = spark.read.format("json_pages").options(server=_SERVER, path=path, last=last, pages_per_task=4).load()
     item = F.from_json("item", "o_orderkey long, o_totalprice double")
-    return datasource.listing(pages).select("page", "pos", item.alias("i")).select("page", "pos", "i.*")
+    return datasource.listing(read).select("page", "pos", item.alias("i")).select("page", "pos", "i.*")
 
 
 @query("""select c_nationkey::string as root, (row_number() over (partition by c_nationkey order by c_custkey) - 1) // 20 + 1 as n, c_custkey from customer""")
@@ -72,8 +72,8 @@ def src_linked_source(spark, d):
     path = _serve(rows)
     roots = F.to_json(F.collect_list(F.col("n_nationkey").cast("string")))
     roots = table(spark, d, "nation").agg(roots).first()[0]  # the 25 nations
-    pages = spark.read.format("linked_pages").options(server=_SERVER, path=path, roots=roots).load()
-    return pages.filter("state = 'item'").select("root", "n", F.col("item").cast("long").alias("c_custkey"))
+    read = spark.read.format("linked_pages").options(server=_SERVER, path=path, roots=roots).load()
+    return read.filter("state = 'item'").select("root", "n", F.col("item").cast("long").alias("c_custkey"))
 
 
 @query("""select s_suppkey as "offset", s_suppkey % 13 <> 0 as ok, case when s_suppkey % 13 <> 0 then s_name end as name from supplier""")
@@ -81,9 +81,9 @@ def src_offset_source(spark, d):
     """Suppliers by offset and limit in pages of 10; those of a thirteenth are corrupt, and so is any page that holds one."""
     s = table(spark, d, "supplier")
     s = s.select(F.col("s_suppkey").alias("at"), F.to_json(F.struct("s_name")).alias("row"), (F.col("s_suppkey") % 13 != 0).alias("ok"))
-    pages = s.groupBy(F.expr("at div 10 * 10").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row", "ok"))), lambda x: F.when(x["ok"], x["row"]).otherwise("{broken")), ","), F.lit("]")).alias("payload"))
+    whole = s.groupBy(F.expr("at div 10 * 10").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row", "ok"))), lambda x: F.when(x["ok"], x["row"]).otherwise("{broken")), ","), F.lit("]")).alias("payload"))
     one = s.select(F.concat("at", F.lit("-1")).alias("address"), F.concat(F.lit("["), F.when(F.col("ok"), F.col("row")).otherwise("{broken"), F.lit("]")).alias("payload"))
-    path = _serve(pages.select(F.concat_ws("-", "start", "n").alias("address"), "payload").unionByName(one))
+    path = _serve(whole.select(F.concat_ws("-", "start", "n").alias("address"), "payload").unionByName(one))
     rows = spark.read.format("offset_rows").options(server=_SERVER, path=path, total=s.count(), page=10, pages_per_task=2).load()
     return rows.select("offset", "ok", F.get_json_object("item", "$.s_name").alias("name"))
 
@@ -289,8 +289,52 @@ union all select 'https://h.example/p/' || p_partkey || '?x=1', 'table', 'Featur
 union all select 'https://h.example/p/' || p_partkey || '?x=1', 'section', p_brand, 'of type ' || p_type from part""")
 def ext_table_functions(spark, d):
     udtfs.register(spark)
-    pages = _html_pages(spark, d)
+    made = _html_pages(spark, d)
     notes = table(spark, d, "part").select(F.concat(F.lit("https://h.example/p/"), F.col("p_partkey").cast("string"), F.lit("?x=1")).alias("url"), F.concat(F.lit("\n## "), "p_brand", F.lit(" ##\n\nof type "), "p_type", F.lit("\n")).alias("note"))
     return spark.sql("""select p.url, 'faq' as kind, t.question as head, t.answer as body from {pages} p, lateral page_faqs(p.html) t
         union all select p.url, 'table', array_join(t.headers, '/'), array_join(flatten(t.cells), '/') from {pages} p, lateral page_tables(p.html) t
-        union all select p.url, 'section', t.heading, t.body from {notes} p, lateral page_sections(p.note) t""", pages=pages, notes=notes)
+        union all select p.url, 'section', t.heading, t.body from {notes} p, lateral page_sections(p.note) t""", pages=made, notes=notes)
+
+
+@query("""with p as (select p_size, p_partkey, p_name, row_number() over (partition by p_size order by p_partkey) as n from part)
+select 'http://h.example/posts?size=' || p_size || case when p_size % 5 = 0 then '&per_page=25&page=1' else '&per_page=20' end as url, count(*) as n_posts, string_agg(p_name, chr(10) || chr(10) order by n) as text
+from p where (p_size % 5 > 0 or n <= 25) and p_partkey % 7 <> 0 group by p_size""")
+def src_web_listing(spark, d):
+    """Posts of each part size, 25 a page: addresses that name a page are read alone, the others page by page to the end; posts of a seventh have no contents."""
+    p = table(spark, d, "part")
+    n = F.expr("(row_number() over (partition by p_size order by p_partkey) - 1) div 25 + 1")
+    post = F.when(F.col("p_partkey") % 7 != 0, F.to_json(F.struct(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("rendered")).alias("content")))).otherwise('{"id":0}')
+    bodies = p.select("p_size", n.alias("n"), "p_partkey", post.alias("post")).groupBy("p_size", "n").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "post"))), lambda x: x["post"]), ","), F.lit("]")).alias("payload"))
+    address = F.concat(F.lit("http://h.example/posts?size="), F.col("p_size").cast("string"), F.lit("&per_page=25&page="), F.col("n").cast("string"))
+    path = _serve(bodies.select(address.alias("address"), "payload"))
+    url = F.concat(F.lit("http://h.example/posts?size="), F.col("p_size").cast("string"), F.when(F.col("p_size") % 5 == 0, "&per_page=25&page=1").otherwise("&per_page=20"))
+    # A list of sites, as a configuration has them: one for each of the 50 sizes.
+    urls_ = p.select("p_size").distinct().agg(F.to_json(F.collect_list(url)), F.count(F.lit(1))).first()[0]
+    last = bodies.agg(F.max("n")).first()[0] + 1
+    rows = spark.read.format("web_listing").options(server=_SERVER, path=path, urls=urls_, last=last, per_page=25, pages_per_task=20).load()
+    return datasource.joined_posts(datasource.listing(rows))
+
+
+@query("""with recursive m as (select max(c_custkey) + 1 as n from customer), e as (select distinct o_custkey as src, (o_custkey * 5 + o_orderkey % 7) % n as dst from orders, m),
+f as (select src, dst from (select *, row_number() over (partition by src order by dst) as n from e) where n <= 2),
+w(node, depth) as (select c_custkey, 0 from customer where c_custkey < 3 union select f.dst, depth + 1 from w join f on f.src = w.node where depth < 4)
+select node, min(depth)::int as depth from w group by node""")
+def crawl_children_limit(spark, d):
+    """A walk over a graph of all customers from three roots, two children a page, to depth 4."""
+    c = table(spark, d, "customer")
+    n = c.agg(F.max("c_custkey") + 1).first()[0]
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 5 + F.col("o_orderkey") % 7) % n).alias("dst")).distinct()
+    return crawl.walk(edges, c.filter("c_custkey < 3").select(F.col("c_custkey").alias("node")), 4, 2)
+
+
+@query("select p_type, count(*) as n from part where p_size > 25 group by 1")
+def agg_type_counts(spark, d):
+    rows = table(spark, d, "part").withColumn("source_type", F.when(F.col("p_size") > 25, "files").otherwise("web"))
+    return audit.type_counts(rows, "p_type", "files")
+
+
+@query("""select count(*) as n_pages, 3 * count(*) as n_documents, count(*) as n_faq, count(*) as n_table, count(*) as n_text,
+sum(length('Q: Which type does the part named ' || p_name || ' have?') + 2 + length('A: It is of type ' || p_type || ', as listed.') + length('Table: Table 1') + 1 + length('Headers: Feature, Yes or no') + 1 + length('Row 1: ' || p_brand || ' | ' || p_size)
+ + length('Which type does the part named ' || p_name || ' have? It is of type ' || p_type || ', as listed. Feature Yes or no ' || p_brand || ' ' || p_size || ' tail'))::bigint as chars from part""")
+def agg_crawl_summary(spark, d):
+    return audit.crawl_summary(pages.page_documents(_html_pages(spark, d)))

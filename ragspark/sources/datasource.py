@@ -1,10 +1,12 @@
-"""Remote listings as Spark data sources (SRC-01, SRC-25, SRC-41): ``spark.read.format("json_pages")``, ``"linked_pages"``, ``"offset_rows"``.
+"""Remote listings as Spark data sources (SRC-01, SRC-02, SRC-25, SRC-41): ``spark.read.format("json_pages")``, ``"web_listing"``, ``"linked_pages"``, ``"offset_rows"``.
 
 All take ``server``, the ``module:Class`` of what fetches, made in every task from the source's options: its ``fetch(address)`` returns a payload, nothing, or fails.
 
 * ``json_pages`` (start, last, pages_per_task): numbered pages of JSON arrays, both ends included, a range of pages a partition; rows (page, pos, item, state).
   An empty, broken or failing page has one row whose state says so, and ends its range; ``listing`` cuts what lies after the first of these. Its
   stream has page numbers as offsets: a restart goes on with the first page it has not read; the server's ``last()`` is the newest page.
+* ``web_listing`` (urls: JSON array of addresses, start, last, per_page, pages_per_task): each address is read as it is, if its query names a page, else page by
+  page, its other parameters kept; rows (url, page, pos, item, state), which ``listing`` cuts address by address.
 * ``linked_pages`` (roots: JSON array of addresses, items, next): pages that name their successor, one partition for each root, to the end or
   to an address met before; rows (root, n, pos, item, state).
 * ``offset_rows`` (total, page, pages_per_task): rows by offset and limit, ``fetch("offset-limit")``; a page that fails or is short is read row by row,
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 import importlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from hashlib import md5
 from typing import Any
-from urllib.parse import quote
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +69,11 @@ class _Read:
         return int(self.options.get(name, default))
 
 
-def _page_rows(options: dict[str, str], pages: Range) -> Iterator[tuple]:
+def _page_rows(options: dict[str, str], pages: Range, address: Callable[[int], str] = str) -> Iterator[tuple]:
     server = _server(options)
     for page in range(pages.start, pages.end):
         try:
-            items = _items(server.fetch(str(page)))
+            items = _items(server.fetch(address(page)))
         except Exception:  # the listing ends at a page that fails, as at an empty one
             yield page, None, None, FAILED
             return
@@ -120,6 +124,52 @@ class JsonPages(DataSource):
         return _NewPages(dict(self.options))
 
 
+def page_address(url: str, page: int, per_page: int) -> str:
+    """The address of one page of a listing: other parameters stay, ``page`` and ``per_page`` are set anew."""
+    parts = urlsplit(url)
+    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k not in ("page", "per_page")]
+    return parts._replace(query=urlencode([*kept, ("per_page", per_page), ("page", page)]), fragment="").geturl()
+
+
+def is_single(url: str) -> bool:
+    return any(k == "page" for k, _ in parse_qsl(urlsplit(url).query, keep_blank_values=True))
+
+
+class Site(InputPartition):
+    """Pages of one address; of one that is read as it is there is one page."""
+
+    def __init__(self, url: str, pages: Range, single: bool):
+        super().__init__(url)
+        self.url, self.pages, self.single = url, pages, single
+
+
+class _Sites(_Read, DataSourceReader):
+    def partitions(self) -> list[Site]:
+        start, out = self.number("start", 1), []
+        for url in dict.fromkeys(json.loads(self.options["urls"])):
+            single = is_single(url)
+            ranges = [Range(start, start + 1)] if single else _ranges(start, self.number("last", 1) + 1, self.number("pages_per_task", 8))
+            out += [Site(url, r, single) for r in ranges]
+        return out or [Site("", Range(0, 0), True)]
+
+    def read(self, partition: Site) -> Iterator[tuple]:
+        url, size = partition.url, self.number("per_page", 100)
+        for row in _page_rows(self.options, partition.pages, lambda page: url if partition.single else page_address(url, page, size)):
+            yield (url, *row)
+
+
+class WebListing(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "web_listing"
+
+    def schema(self) -> str:
+        return "url string, page long, pos int, item string, state string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Sites(dict(self.options))
+
+
 class _Links(_Read, DataSourceReader):
     def partitions(self) -> list[Root]:
         return [Root(a) for a in dict.fromkeys(json.loads(self.options["roots"]))] or [Root("")]
@@ -195,16 +245,29 @@ class OffsetRows(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (JsonPages, LinkedPages, OffsetRows):
+    for source in (JsonPages, WebListing, LinkedPages, OffsetRows):
         spark.dataSource.register(source)
 
 
 def listing(pages: DataFrame) -> DataFrame:
-    """(page, pos, item) of ``json_pages`` rows before the first page that is empty or fails."""
-    # One row: the end of the listing.
-    end = pages.filter(F.col("state") != ITEM).agg(F.min("page").alias("_end"))
-    rows = pages.filter(F.col("state") == ITEM).join(F.broadcast(end))
-    return rows.filter(F.col("_end").isNull() | (F.col("page") < F.col("_end"))).select("page", "pos", "item")
+    """The rows of ``json_pages`` or ``web_listing`` before the first page, of each address, that is empty or fails, without their state."""
+    by = ["url"] if "url" in pages.columns else []
+    ended = pages.filter(F.col("state") != ITEM)
+    rows = pages.filter(F.col("state") == ITEM)
+    if by:
+        rows = rows.join(ended.groupBy("url").agg(F.min("page").alias("_end")), "url", "left")
+    else:
+        # One row: the end of the listing.
+        rows = rows.join(F.broadcast(ended.agg(F.min("page").alias("_end"))))
+    return rows.filter(F.col("_end").isNull() | (F.col("page") < F.col("_end"))).select(*by, "page", "pos", "item")
+
+
+def joined_posts(rows: DataFrame) -> DataFrame:
+    """(url, n_posts, text): the rendered contents of an address's posts, in order, a blank line between: one text an address, so one listing must fit a row.
+    Posts without contents are left out; ``operators.rebuild.web_documents`` cuts post by post instead."""
+    body = F.get_json_object("item", "$.content.rendered")
+    posts = F.array_sort(F.collect_list(F.struct("page", "pos", body.alias("body"))))
+    return rows.filter(body.isNotNull()).groupBy("url").agg(F.count(F.lit(1)).alias("n_posts"), F.array_join(F.transform(posts, lambda x: x["body"]), "\n\n").alias("text"))
 
 
 class Folder:
@@ -224,7 +287,8 @@ class Folder:
 
     def fetch(self, address: str) -> str | None:
         texts = []
-        for path in self._texts(f"{self.path}/address={quote(address, safe='')}"):
+        name = address if re.fullmatch("[0-9A-Za-z-]+", address) else md5(address.encode()).hexdigest()
+        for path in self._texts(f"{self.path}/address={name}"):
             with self.files.open_input_stream(path) as stream:
                 texts.append(stream.read().decode())
         return "".join(texts) or None
@@ -238,5 +302,6 @@ class Folder:
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """A folder for ``Folder`` of (address, payload); addresses are of characters that Spark writes as they are."""
-    payloads.select("payload", F.col("address").cast("string").alias("address")).write.mode("append").partitionBy("address").text(path)
+    """A folder for ``Folder`` of (address, payload). Addresses of more than letters, digits and hyphens are known by their hash."""
+    address = F.col("address").cast("string")
+    payloads.select("payload", F.when(address.rlike("^[0-9A-Za-z-]+$"), address).otherwise(F.md5(address)).alias("address")).write.mode("append").partitionBy("address").text(path)

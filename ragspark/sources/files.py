@@ -201,9 +201,10 @@ def summarize_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_json_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, n, line) of JSONL files; parsing and its counters are feedback.convert_status."""
-    lines = spark.read.text(list(paths)).withColumn("file", F.input_file_name())
-    return lines.select("file", F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    """(file, n, line) of JSONL files, globs too; parsing and its counters are feedback.convert_status. ``n`` orders the lines of a file: by
+    the split that a line is in, and within it as they are read."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).alias("n"), F.col("value").alias("line"))
+    return lines
 
 
 def union_enabled(sources: dict[str, DataFrame], enabled: list[str]) -> DataFrame:

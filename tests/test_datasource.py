@@ -77,3 +77,15 @@ def test_stream_goes_on_after_the_last_page_it_read(spark, serve, tmp_path):
 def test_nothing(spark, serve):
     path = serve({"x": "y"})
     assert datasource.listing(read(spark, path, start=1, last=0)).count() == 0 and read(spark, path, "linked_pages", roots="[]").count() == 0 and read(spark, path, "offset_rows", total=0).count() == 0
+
+
+def test_addresses_are_read_alone_or_page_by_page(spark, serve):
+    post = lambda i, text=None: {"id": i} | ({"content": {"rendered": text}} if text else {})
+    path = serve({
+        "http://h/a?tag=x&per_page=2&page=1": json.dumps([post(1, "one"), post(2)]), "http://h/a?tag=x&per_page=2&page=2": json.dumps([post(3, "three")]), "http://h/a?tag=x&per_page=2&page=4": json.dumps([post(9, "after the end")]),
+        "http://h/b?page=7": json.dumps([post(4, "seven")]), "http://h/c?per_page=2&page=1": "[{", "http://h/c?per_page=2&page=2": json.dumps([post(5, "lost")]),
+    })
+    rows = read(spark, path, "web_listing", urls=json.dumps(["http://h/a?tag=x&per_page=50#top", "http://h/b?page=7", "http://h/c", "http://h/d"]), last=5, per_page=2, pages_per_task=2)
+    listed = datasource.listing(rows)
+    assert {(r.url, r.n_posts, r.text) for r in datasource.joined_posts(listed).collect()} == {("http://h/a?tag=x&per_page=50#top", 2, "one\n\nthree"), ("http://h/b?page=7", 1, "seven")}
+    assert sorted((r.url, r.page, r.pos) for r in listed.collect() if r.url.startswith("http://h/a")) == [("http://h/a?tag=x&per_page=50#top", p, i) for p, i in ((1, 0), (1, 1), (2, 0))]
