@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragspark.tables import numbered
+
 from . import text
 
 #: What a file's chunks are called.
@@ -47,6 +49,12 @@ def chunk_by_profile(docs: DataFrame, profile: Column, body: str = "text") -> Da
     return rows.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", body))
 
 
+def renumbered(chunks: DataFrame, *order: str) -> DataFrame:
+    """Chunks of a batch with ``chunk_index`` from 0 over the whole batch, in the given order, and ``total_chunks`` of it: what site pages get."""
+    rows = numbered(chunks, "_index", *order)
+    return rows.withColumn("chunk_index", F.col("_index")).drop("_index").withColumn("total_chunks", F.lit(rows.count()))
+
+
 def file_chunks(files: DataFrame) -> DataFrame:
     """Chunks of files (file_name, file_type, text and any of METADATA) with full metadata and content_type; blank texts give none."""
     kept = [F.coalesce(F.col(c).cast("string"), F.lit(d)).alias(c) if c in files.columns else F.lit(d).alias(c) for c, d in METADATA.items()]

@@ -9,7 +9,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from ragspark.operators import audit, crawl, fuzzy, ingest, pages, sketches, timejoin, udtfs, urls
+from ragspark.operators import audit, composition, crawl, fuzzy, ingest, pages, sketches, text, timejoin, udtfs, urls
 from ragspark.operators.transactions import TransactionalStore, rebuild_with_backup
 from ragspark.sources import datasource
 from ragspark.streaming import messages, polling
@@ -338,3 +338,10 @@ sum(length('Q: Which type does the part named ' || p_name || ' have?') + 2 + len
  + length('Which type does the part named ' || p_name || ' have? It is of type ' || p_type || ', as listed. Feature Yes or no ' || p_brand || ' ' || p_size || ' tail'))::bigint as chars from part""")
 def agg_crawl_summary(spark, d):
     return audit.crawl_summary(pages.page_documents(_html_pages(spark, d)))
+
+
+@query("""with p as (select doc_id, text, greatest(ceil((length(text) - 300) / 1200.0), 1)::int as n from documents where length(text) > 0),
+c as (select doc_id, text, unnest(range(n))::int as i from p) select doc_id, row_number() over (order by doc_id, i) - 1 as chunk_index, count(*) over () as total_chunks, md5(substring(text, i * 1200 + 1, 1500)) as digest from c""")
+def chunk_batch_index(spark, d):
+    """Chunks of all documents, numbered over the whole batch."""
+    return composition.renumbered(text.chunk_fixed(table(spark, d, "documents")), "doc_id", "chunk_index").select("doc_id", "chunk_index", "total_chunks", F.md5("chunk").alias("digest"))

@@ -66,6 +66,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """``df``, written, with the place of each row in the order as a long column ``name``, from 0 without gaps; rows that are equal in the order take any of their places.
+
+    Rows are dealt to ranges and sorted there; a range begins after the rows of the ranges before it, whose counts are all that the driver sees.
+    """
+    spark = df.sparkSession
+    raw = free_name(df, "_at")
+    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    rows = materialize(dealt.withColumn(raw, F.monotonically_increasing_id()))
+    # The id has the number of the range in its upper bits.
+    part = F.shiftright(F.col(raw), 33)
+    counts = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, begun = [], 0
+    for p in sorted(counts):
+        starts.append((p, begun))
+        begun += counts[p]
+    of = spark.createDataFrame(starts, "_range long, _start long")
+    joined = rows.join(F.broadcast(of), part == F.col("_range"))
+    return joined.select(*columns_of(df), (F.col("_start") + F.col(raw).bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
