@@ -4,7 +4,7 @@ Words are lower-case runs without ASCII punctuation; shingles have five. For eac
 cut into windows that overlap so far that any place of a template lies whole inside one. A template is
 retrieved by the shingles that are its min-hash in one of ``BANDS`` bands: each window that holds one of them is verified
 on full shingle sets, and no other. A place at the containment limit lacks all of them in one case of
-0.2**-16. One lookup per shingle of the text whatever the number of templates; one pass in place, no shuffle of text.
+0.2**16, if it has 16 distinct shingles or more. One lookup per shingle of the text whatever the number of templates; one pass in place, no shuffle of text.
 
 Where templates differ in a word or two (versions, GPL and LGPL notices), only the one that matches best at a place is given.
 A template of three or four words (``NOTICES``) is one shingle, its whole word sequence, held against all runs of so many words.

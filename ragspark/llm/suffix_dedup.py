@@ -1,9 +1,9 @@
 """Operator 7, exact substring dedup: every byte of a 200-byte string that also starts elsewhere is removed.
 
-Suffixes are compared blockwise. Positions whose offset in the text lies in a difference cover modulo 133 are
+Suffixes are compared blockwise, by hashes: equal ones are found, no order among unequal ones is kept and no ranks are made. Positions whose offset in the text lies in a difference cover modulo 133 are
 the samples: for any two positions i, j there is one shift below 133 that takes both to samples, so two equal 200-byte
-strings always hold equal sample cores (the 68 bytes after a sample) at the same shift. Samples are ranked
-first: their cores are dealt into buckets by value and one bucket at a time is sorted, equal neighbours being
+strings always hold equal sample cores (the 68 bytes after a sample) at the same shift. Samples come
+first: the hashes of their cores are dealt into buckets and one bucket at a time is sorted, equal neighbours being
 ties. Only suffixes whose 200 bytes hold a tied sample can have an equal partner; all others are settled.
 Long ties (copies of whole passages) are resolved in the same pass by longer sampled strings, from one
 content-chosen position to the next plus 200 bytes: where such a string is tied, every suffix in it is, and
