@@ -32,24 +32,25 @@ PROBES = 64
 
 
 class _Interval(NamedTuple):
-    """Values [lo, hi) of a column, within one group or in all rows, and the bytes below either end."""
+    """Values [lo, hi) of a column, within one group or in all rows, the bytes below either end, and whether it holds more than one row."""
 
     group: int | None
     lo: int
     hi: int
     below: float
     upto: float
+    several: bool = True
 
 
 def _search(rows: DataFrame, column: str, spans: list[_Interval], targets: list[float], slack: float, group: str | None = None) -> list[_Interval]:
     """Narrow each interval around its target, all of them in the same rounds.
 
     A round is one aggregation: exact bytes in every cell of the intervals that are still open. An interval
-    is closed when it is one value wide or one of its ends is within slack of the target.
+    is closed when it is one value wide, holds one row, or has an end within slack of the target.
     """
     spans, probes = list(spans), PROBES * (1 if group else max(len(targets), 1))
     while True:
-        open_ = {s for s, t in zip(spans, targets, strict=True) if s.hi - s.lo > 1 and min(t - s.below, s.upto - t) > slack}
+        open_ = {s for s, t in zip(spans, targets, strict=True) if s.several and s.hi - s.lo > 1 and min(t - s.below, s.upto - t) > slack}
         if not open_:
             return spans
         # A power of two, so that the cells of a round lie within those of the rounds before and none straddles two intervals.
@@ -62,18 +63,19 @@ def _search(rows: DataFrame, column: str, spans: list[_Interval], targets: list[
         # in decimals: no overflow for the full range of longs
         cell = F.floor(F.col(column).cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)")) if width > 1 else F.col(column)
         of = F.col(group) if group else F.lit(None).cast("long")
-        got: dict[int | None, dict[int, int]] = {}
-        for r in rows.filter(inside).groupBy(of.alias("of"), cell.alias("cell")).agg(F.sum("size").alias("b")).collect():
-            got.setdefault(r["of"], {})[int(r["cell"])] = r["b"]
+        got: dict[int | None, dict[int, tuple[int, int]]] = {}
+        for r in rows.filter(inside).groupBy(of.alias("of"), cell.alias("cell")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
+            got.setdefault(r["of"], {})[int(r["cell"])] = r["b"], r["n"]
         for i, (s, t) in enumerate(zip(spans, targets, strict=True)):
             if s not in open_:
                 continue
             left, found, cells = s.below, None, got.get(s.group, {})
             for c in sorted(k for k in cells if s.lo <= max(k * width, s.lo) < s.hi and (k + 1) * width > s.lo):
-                if left + cells[c] > t:
-                    found = _Interval(s.group, max(c * width, s.lo), min((c + 1) * width, s.hi), left, left + cells[c])
+                size, n = cells[c]
+                if left + size > t:
+                    found = _Interval(s.group, max(c * width, s.lo), min((c + 1) * width, s.hi), left, left + size, n > 1)
                     break
-                left += cells[c]
+                left += size
             spans[i] = found or _Interval(s.group, s.hi - 1, s.hi, s.upto, s.upto)
 
 
@@ -86,10 +88,8 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
     targets = [total * i / n_shards for i in range(1, n_shards)]
     out, hot = [], []
     for target, s in zip(targets, _search(rows, "h", [_Interval(None, low, high + 1, 0, total)] * len(targets), targets, slack), strict=True):
-        if target - s.below <= slack:
-            out.append((s.lo, _LOW, _LOW))
-        elif s.upto - target <= slack or s.hi - s.lo > 1:
-            out.append((s.hi, _LOW, _LOW))
+        if not s.several or s.hi - s.lo > 1 or min(target - s.below, s.upto - target) <= slack:
+            out.append((s.lo if target - s.below <= s.upto - target else s.hi, _LOW, _LOW))
         else:  # the target lies inside a group of equal texts that is larger than the slack
             hot.append((target, (s.lo,), s))
     # Inside equal texts by doc_id, and inside rows that are equal in both by the number of the row.
@@ -107,7 +107,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
         spans = [_Interval(i, ends[i]["lo"], ends[i]["hi"] + 1, s.below, s.upto) for i, s in ((keys.index(key), s) for _, key, s in hot)]
         deeper = []
         for (target, key, _), s in zip(hot, _search(within, column, spans, [t for t, _, _ in hot], slack, "group"), strict=True):
-            if rest and s.hi - s.lo == 1 and min(target - s.below, s.upto - target) > slack:
+            if rest and s.several and s.hi - s.lo == 1 and min(target - s.below, s.upto - target) > slack:
                 deeper.append((target, (*key, s.lo), s))
             else:
                 out.append((*key, s.lo if target - s.below <= s.upto - target else s.hi, *rest))
