@@ -46,7 +46,9 @@ def chunk_by_profile(docs: DataFrame, profile: Column, body: str = "text") -> Da
     """Every row of ``docs`` cut by its own profile: its other columns, chunk_index (from 0 in each row), total_chunks and the chunk as ``body``."""
     rest = [c for c in docs.columns if c != body]
     rows = docs.select(*rest, split_by_profile(body, profile).alias("_chunks"))
-    return rows.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", body))
+    # Outer: for the inner form Spark infers a filter on the number of chunks, for which every text is split a second time.
+    rows = rows.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", body))
+    return rows.filter(F.col("chunk_index").isNotNull())
 
 
 def renumbered(chunks: DataFrame, *order: str) -> DataFrame:

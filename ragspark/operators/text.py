@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -47,6 +48,8 @@ def urls(text: Column) -> Column:
 
 
 def first_words(text: Column, n: int = 20) -> Column:
+    # Blanks are evened out in as much of the text as holds n words, and the blank before them.
+    text = F.regexp_extract(text, rf"^\s*+(?:\S++\s*+){{0,{n}}}+", 0)
     return F.array_join(F.slice(F.split(F.btrim(F.regexp_replace(text, r"\s+", " ")), " "), 1, n), " ")
 
 
@@ -109,40 +112,70 @@ def chunk_fixed(docs: DataFrame, size: int = 1500, overlap: int = 300) -> DataFr
     return rows.select("doc_id", "chunk_index", "total_chunks", F.substring("text", F.col("chunk_index") * step + 1, F.lit(size)).alias("chunk"))
 
 
-def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Neighbouring pieces put together up to ``size`` characters; each text begins with up to ``overlap`` of the one before."""
+def _ends(text: str, sep: str) -> tuple[Callable[[int, int], int], Callable[[int], int]]:
+    """(last, next) over the places where ``text`` is cut, each before a separator, or before any character if that is empty:
+    the last one in [lo, hi], or -1, and the first one from lo on, or the length of the text."""
+    n = len(text)
+    if not sep:
+        return lambda lo, hi: min(hi, n - 1) if lo <= min(hi, n - 1) else -1, lambda lo: min(lo, n)
+    if any(sep.startswith(sep[i:]) for i in range(1, len(sep))):
+        # Occurrences may overlap: only those that a scan from the left meets count.
+        places = [m.start() for m in re.finditer(re.escape(sep), text)]
+
+        def last(lo: int, hi: int) -> int:
+            i = bisect_right(places, hi) - 1
+            return places[i] if i >= 0 and places[i] >= lo else -1
+
+        def next_(lo: int) -> int:
+            i = bisect_left(places, lo)
+            return places[i] if i < len(places) else n
+
+        return last, next_
+    width = len(sep)
+
+    def first(lo: int) -> int:
+        i = text.find(sep, lo)
+        return i if i >= 0 else n
+
+    return lambda lo, hi: text.rfind(sep, lo, hi + width), first
+
+
+def _merged(text: str, begin: int, end: int, size: int, overlap: int, last: Callable[[int, int], int], next_: Callable[[int], int]) -> list[str]:
+    """Texts of [begin, end), whose pieces are short enough: neighbouring pieces put together up to ``size`` characters; each text begins with up to ``overlap`` of the one before."""
     out: list[str] = []
-    held: deque[str] = deque()
-    total = 0
-    for piece in pieces:
-        if held and total + len(piece) > size:
-            out.append("".join(held))
-            while held and (total > overlap or total + len(piece) > size):
-                total -= len(held.popleft())
-        held.append(piece)
-        total += len(piece)
-    if held:
-        out.append("".join(held))
+    while end - begin > size:
+        cut = last(begin + 1, begin + size)
+        out.append(text[begin:cut])
+        # The next text has room for the piece at the cut.
+        least = max(cut - overlap, min(next_(cut + 1), end) - size)
+        begin = min(next_(least), cut) if least > begin else begin
+    if end > begin:
+        out.append(text[begin:end])
     return [x for x in (t.strip() for t in out) if x]
 
 
 def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
-    """Texts of at most ``size`` characters, cut before the first separator that occurs; pieces that are too long are cut by finer ones on their own."""
+    """Texts of at most ``size`` characters, cut before the first separator that occurs; pieces that are too long are cut by finer ones on their own.
+
+    Cuts are looked for from where one is needed, so a text costs some searches for each of its chunks, not a step for each piece.
+    """
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), None)
-    if at is None or separators[at] == "":
-        return _merged(list(text) if at is not None else [text], size, overlap)
-    sep = separators[at]
-    first, *rest = text.split(sep)
+    if at is None:
+        return [x for x in (text.strip(),) if x]
+    last, next_ = _ends(text, separators[at])
+    if separators[at] == "":
+        return _merged(text, 0, len(text), size, overlap, last, next_)
     out: list[str] = []
-    short: list[str] = []
-    for piece in [first, *(sep + x for x in rest)]:
-        if len(piece) < size:
-            short += [piece] if piece else []
-            continue
-        out += _merged(short, size, overlap)
-        short = []
-        out += split_text(piece, size, overlap, separators[at + 1 :]) if separators[at + 1 :] else [piece]
-    return out + _merged(short, size, overlap)
+    begun = at_ = 0
+    while len(text) - at_ >= size:
+        hop = last(at_ + 1, at_ + size - 1)
+        if hop < 0:  # the piece that begins here is too long
+            end = next_(at_ + 1)
+            out += _merged(text, begun, at_, size, overlap, last, next_)
+            out += split_text(text[at_:end], size, overlap, separators[at + 1 :]) if separators[at + 1 :] else [text[at_:end]]
+            begun = hop = end
+        at_ = hop
+    return out + _merged(text, begun, len(text), size, overlap, last, next_)
 
 
 def chunk_recursive(docs: DataFrame, profile: str = "web") -> DataFrame:
@@ -154,7 +187,8 @@ def chunk_recursive(docs: DataFrame, profile: str = "web") -> DataFrame:
         return text.map(lambda t: split_text(t, size, overlap, separators) if t else [])
 
     rows = docs.select("doc_id", cut("text").alias("c"))
-    return rows.select("doc_id", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "chunk"))
+    # Outer: the inner form is given a filter for which every text is split a second time.
+    return rows.select("doc_id", F.size("c").alias("total_chunks"), F.posexplode_outer("c").alias("chunk_index", "chunk")).filter(F.col("chunk_index").isNotNull())
 
 
 class _Text(HTMLParser):

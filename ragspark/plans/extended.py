@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragspark.operators import audit, composition, curation, expansion, feedback, pages, rebuild, store, text, vector
+from ragspark.tables import partitions
 
 from .reference import _PAIRS, _pairs, query, table
 
@@ -41,7 +42,7 @@ def _html_pages(spark, d):
     question = F.concat(F.lit("<ul><li>Which type does the part named "), F.col("p_name"), F.lit(" have?<b> It is of type "), F.col("p_type"), F.lit(", as listed.</b></li></ul>"))
     grid = F.concat(F.lit("<table><tr><th>Feature</th><th>Yes or no</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table>"))
     url = F.concat(F.lit("https://h.example/p/"), F.col("p_partkey").cast("string"), F.lit("?x=1"))
-    return table(spark, d, "part").select(url.alias("url"), F.col("p_name").alias("title"), F.concat(F.lit("<nav>menu</nav>"), question, grid, F.lit("<p>tail</p>")).alias("html"))
+    return table(spark, d, "part").repartition(partitions(spark)).select(url.alias("url"), F.col("p_name").alias("title"), F.concat(F.lit("<nav>menu</nav>"), question, grid, F.lit("<p>tail</p>")).alias("html"))
 
 
 @query(f"""with u as (select 'https://h.example/p/' || p_partkey || '?x=1' as page_url, '/p/' || p_partkey as page_path, p_name as page_title, * from part)
@@ -106,8 +107,10 @@ _CHUNK = "array_to_string(list_transform(range(i * (each - shared) + 1, least(i
 
 def _word_files(spark, d):
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    body = F.array_join(F.transform(F.sequence(F.lit(1), (100 + F.col("o_orderkey") % 900).cast("int")), lambda i: F.lpad(i.cast("string"), 4, "0")), " ")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("file_type"), body.alias("text"))
+    # The first 100 to 999 words of one text.
+    body = F.substring(F.lit(" ".join(f"{i:04d}" for i in range(1, 1000))), F.lit(1), (5 * (100 + F.col("o_orderkey") % 900) - 1).cast("int"))
+    # Few bytes make long texts: the rows are dealt out before, as splits by size would leave most cores idle.
+    return table(spark, d, "orders").select("o_orderkey").repartition(partitions(spark)).select(F.col("o_orderkey").alias("id"), kind.alias("file_type"), body.alias("text"))
 
 
 @query(f"""with {_WORDS.format(_KIND)}, p as (select id, n, kind, case when lower(kind) in ('xlsx', 'xls') then 2000 else 1500 end as size, case when lower(kind) in ('xlsx', 'xls') then 200 else 300 end as lap from w), {_CUTS}
