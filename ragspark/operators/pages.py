@@ -187,14 +187,17 @@ def feature_table(headers: Column) -> Column:
 def page_documents(pages: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
     """(page_url, page_path, page_title, content_type, n, content, table_kind): FAQ, table and text documents of pages (url, title, html)."""
     meta = [F.col("url").alias("page_url"), F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1).alias("page_path"), F.col("title").alias("page_title")]
-    none = F.lit(None).cast("string").alias("table_kind")
     rows = pages.select(*meta, text.to_faqs("html").alias("faqs"), text.to_tables("html").alias("tables"), text.to_content("html").alias("body"))
-    head = ["page_url", "page_path", "page_title"]
-    faqs = rows.select(*head, F.posexplode("faqs").alias("n", "f")).select(*head, F.lit("faq").alias("content_type"), "n", text.render_faq(F.col("f.question"), F.col("f.answer")).alias("content"), none)
-    tables = rows.select(*head, F.posexplode("tables").alias("n", "t"))
-    tables = tables.select(*head, F.lit("table").alias("content_type"), "n", text.render_table(F.concat(F.lit("Table "), (F.col("n") + 1).cast("string")), F.col("t.headers"), F.col("t.rows")).alias("content"), text.table_class(F.col("t.headers")).alias("table_kind"))
-    body = rows.filter(F.btrim("body", F.lit(BLANKS)) != "").select(*head, F.lit("text").alias("content_type"), F.lit(0).alias("n"), F.substring("body", 1, cap).alias("content"), none)
-    return faqs.unionByName(tables).unionByName(body)
+
+    def document(kind: str, n: Column, content: Column, table_kind: Column) -> Column:
+        return F.struct(F.lit(kind).alias("content_type"), n.cast("int").alias("n"), content.alias("content"), table_kind.cast("string").alias("table_kind"))
+
+    faqs = F.transform("faqs", lambda f, n: document("faq", n, text.render_faq(f["question"], f["answer"]), F.lit(None)))
+    tables = F.transform("tables", lambda t, n: document("table", n, text.render_table(F.concat(F.lit("Table "), (n + 1).cast("string")), t["headers"], t["rows"]), text.table_class(t["headers"])))
+    body = F.filter(F.array(document("text", F.lit(0), F.substring("body", 1, cap), F.lit(None))), lambda _: F.btrim("body", F.lit(BLANKS)) != "")
+    # All documents of a page from one pass over it; outer, as for the inner form Spark infers a filter that parses every page again.
+    made = rows.select("page_url", "page_path", "page_title", F.explode_outer(F.concat(faqs, tables, body)).alias("d"))
+    return made.filter(F.col("d").isNotNull()).select("page_url", "page_path", "page_title", "d.*")
 
 
 def flat_pages(pages: DataFrame, cap: int = FLAT_CAPS[0], min_length: int = 10) -> DataFrame:
