@@ -587,7 +587,14 @@ def src_paged_items(spark, d):
     pages = c.groupBy(F.expr("c_custkey div 100").alias("n")).agg(names.alias("body"))
     path = new_path(spark, "served")
     datasource.write_payloads(pages.select((F.col("n") + 1).alias("address"), F.when(F.col("n") == last // 2, "[]").otherwise(F.col("body")).alias("payload")), path)
-    return paged.items_of_pages(paged.fetch_pages(spark, lambda page: datasource.Folder({"path": path}).fetch(str(page)), 1, last + 2))
+    held: list[datasource.Folder] = []  # one in each task
+
+    def fetch(page: int) -> str | None:
+        if not held:
+            held.append(datasource.Folder({"path": path}))
+        return held[0].fetch(str(page))
+
+    return paged.items_of_pages(paged.fetch_pages(spark, fetch, 1, last + 2))
 
 
 @query("select (s_suppkey // 2 + 1)::int as n, 'p/' || s_suppkey as address, s_name as payload from supplier where s_suppkey % 2 = 0")

@@ -19,14 +19,16 @@ import importlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from hashlib import md5
 from typing import Any
 from urllib.parse import parse_qsl, urlencode, urlsplit
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ragspark.tables import partitions
+
 ITEM, EMPTY, FAILED = "item", "empty", "failed"
 
 
@@ -50,6 +52,23 @@ class Range(InputPartition):
         self.start, self.end = start, end
 
 
+#: Partitions of a read at most, about; beyond, neighbouring ranges share one.
+MAX_TASKS = 2_000
+
+
+class Group(InputPartition):
+    """Partitions that one task reads one after the other."""
+
+    def __init__(self, parts: list):
+        super().__init__(len(parts))
+        self.parts = parts
+
+
+def _grouped(parts: list) -> list[Group]:
+    each = -(-len(parts) // MAX_TASKS)
+    return [Group(parts[i : i + each]) for i in range(0, len(parts), each)]
+
+
 class Root(InputPartition):
     def __init__(self, address: str):
         super().__init__(address)
@@ -69,8 +88,7 @@ class _Read:
         return int(self.options.get(name, default))
 
 
-def _page_rows(options: dict[str, str], pages: Range, address: Callable[[int], str] = str) -> Iterator[tuple]:
-    server = _server(options)
+def _page_rows(server: Any, pages: Range, address: Callable[[int], str] = str) -> Iterator[tuple]:
     for page in range(pages.start, pages.end):
         try:
             items = _items(server.fetch(address(page)))
@@ -85,11 +103,13 @@ def _page_rows(options: dict[str, str], pages: Range, address: Callable[[int], s
 
 
 class _Pages(_Read, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return _ranges(self.number("start", 1), self.number("last", 1) + 1, self.number("pages_per_task", 8))
+    def partitions(self) -> list[Group]:
+        return _grouped(_ranges(self.number("start", 1), self.number("last", 1) + 1, self.number("pages_per_task", 8)))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _page_rows(self.options, partition)
+    def read(self, partition: Group) -> Iterator[tuple]:
+        server = _server(self.options)
+        for pages in partition.parts:
+            yield from _page_rows(server, pages)
 
 
 class _NewPages(_Read, DataSourceStreamReader):
@@ -99,11 +119,13 @@ class _NewPages(_Read, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"page": max(self.number("start", 1), int(_server(self.options).last()) + 1)}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return _ranges(start["page"], end["page"], self.number("pages_per_task", 8))
+    def partitions(self, start: dict, end: dict) -> list[Group]:
+        return _grouped(_ranges(start["page"], end["page"], self.number("pages_per_task", 8)))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _page_rows(self.options, partition)
+    def read(self, partition: Group) -> Iterator[tuple]:
+        server = _server(self.options)
+        for pages in partition.parts:
+            yield from _page_rows(server, pages)
 
     def commit(self, end: dict) -> None:
         pass
@@ -144,18 +166,19 @@ class Site(InputPartition):
 
 
 class _Sites(_Read, DataSourceReader):
-    def partitions(self) -> list[Site]:
+    def partitions(self) -> list[Group]:
         start, out = self.number("start", 1), []
         for url in dict.fromkeys(json.loads(self.options["urls"])):
             single = is_single(url)
             ranges = [Range(start, start + 1)] if single else _ranges(start, self.number("last", 1) + 1, self.number("pages_per_task", 8))
             out += [Site(url, r, single) for r in ranges]
-        return out or [Site("", Range(0, 0), True)]
+        return _grouped(out or [Site("", Range(0, 0), True)])
 
-    def read(self, partition: Site) -> Iterator[tuple]:
-        url, size = partition.url, self.number("per_page", 100)
-        for row in _page_rows(self.options, partition.pages, lambda page: url if partition.single else page_address(url, page, size)):
-            yield (url, *row)
+    def read(self, partition: Group) -> Iterator[tuple]:
+        server, size = _server(self.options), self.number("per_page", 100)
+        for site in partition.parts:
+            for row in _page_rows(server, site.pages, lambda page, site=site: site.url if site.single else page_address(site.url, page, size)):
+                yield (site.url, *row)
 
 
 class WebListing(DataSource):
@@ -206,10 +229,10 @@ class LinkedPages(DataSource):
 
 
 class _Offsets(_Read, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return _ranges(0, self.number("total", 0), self.number("page", 50) * self.number("pages_per_task", 8))
+    def partitions(self) -> list[Group]:
+        return _grouped(_ranges(0, self.number("total", 0), self.number("page", 50) * self.number("pages_per_task", 8)))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Group) -> Iterator[tuple]:
         server, page = _server(self.options), self.number("page", 50)
 
         def fetched(start: int, size: int) -> list[str]:
@@ -218,8 +241,8 @@ class _Offsets(_Read, DataSourceReader):
                 raise ValueError("short page")
             return items
 
-        for start in range(partition.start, partition.end, page):
-            size = min(page, partition.end - start)
+        for start, end in ((a, r.end) for r in partition.parts for a in range(r.start, r.end, page)):
+            size = min(page, end - start)
             try:
                 for i, item in enumerate(fetched(start, size)):
                     yield start + i, True, item
@@ -270,38 +293,73 @@ def joined_posts(rows: DataFrame) -> DataFrame:
     return rows.filter(body.isNotNull()).groupBy("url").agg(F.count(F.lit(1)).alias("n_posts"), F.array_join(F.transform(posts, lambda x: x["body"]), "\n\n").alias("text"))
 
 
+#: Addresses of one file of payloads, about; files read last that a server keeps.
+PER_FILE, KEPT = 256, 4
+
+
+def _bucket(address: str, of: int) -> int:
+    """The file of an address. The last digit of each number in it does not count, so neighbours lie in one file."""
+    return crc32(re.sub("([0-9]*)[0-9]", r"\1", address).encode()) % of
+
+
 class Folder:
-    """A server over a folder that Spark wrote (``write_payloads``): option ``path``; an address nobody wrote has no payload."""
+    """A server over a folder that Spark wrote (``write_payloads``): option ``path``; an address nobody wrote has no payload.
+
+    A fetch reads the file of its address, which is of bounded size, unless it is among the last that were read.
+    """
 
     def __init__(self, options: dict[str, str]):
         from pyarrow import fs
 
         path = options["path"]
         self.files, self.path = fs.FileSystem.from_uri("file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path)
+        self.counts = sorted(int(f.base_name.partition("=")[2]) for f in self._below(self.path) if f.base_name.startswith("of="))
+        self.read: dict[str, dict[str, str]] = {}
 
-    def _texts(self, below: str) -> list[str]:
+    def _below(self, path: str) -> list:
         from pyarrow import fs
 
-        found = self.files.get_file_info(fs.FileSelector(below, allow_not_found=True))
-        return [f.path for f in found if f.base_name.startswith("part-")]
+        return self.files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+
+    def _parts(self, path: str) -> list[str]:
+        return sorted(f.path for f in self._below(path) if f.base_name.startswith("part-"))
+
+    def _payloads(self, bucket: str) -> dict[str, str]:
+        """Payloads by address; those of one address one after the other, each a line at least."""
+        import pyarrow.parquet as pq
+
+        if bucket not in self.read:
+            got: dict[str, str] = {}
+            for path in self._parts(bucket):
+                with self.files.open_input_file(path) as file:
+                    table = pq.read_table(file, columns=["address", "payload"])
+                for address, payload in zip(table["address"].to_pylist(), table["payload"].to_pylist(), strict=True):
+                    got[address] = f"{got.get(address, '')}{payload or ''}\n"
+            while len(self.read) >= KEPT:
+                del self.read[next(iter(self.read))]
+            self.read[bucket] = got
+        return self.read[bucket]
 
     def fetch(self, address: str) -> str | None:
-        texts = []
-        name = address if re.fullmatch("[0-9A-Za-z-]+", address) else md5(address.encode()).hexdigest()
-        for path in self._texts(f"{self.path}/address={name}"):
-            with self.files.open_input_stream(path) as stream:
-                texts.append(stream.read().decode())
-        return "".join(texts) or None
+        return "".join(self._payloads(f"{self.path}/of={n}/bucket={_bucket(address, n)}").get(address, "") for n in self.counts) or None
 
     def last(self) -> int:
         """The highest address that is a number."""
-        from pyarrow import fs
+        import pyarrow.parquet as pq
 
-        names = [f.base_name.partition("=")[2] for f in self.files.get_file_info(fs.FileSelector(self.path, allow_not_found=True))]
-        return max((int(n) for n in names if n.isdigit()), default=-1)
+        found = -1
+        for n in self.counts:
+            for bucket in self._below(f"{self.path}/of={n}"):
+                for path in self._parts(bucket.path) if bucket.base_name.startswith("bucket=") else []:
+                    with self.files.open_input_file(path) as file:
+                        found = max([found, *(int(a) for a in pq.read_table(file, columns=["address"])["address"].to_pylist() if re.fullmatch("[0-9]+", a))])
+        return found
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """A folder for ``Folder`` of (address, payload). Addresses of more than letters, digits and hyphens are known by their hash."""
-    address = F.col("address").cast("string")
-    payloads.select("payload", F.when(address.rlike("^[0-9A-Za-z-]+$"), address).otherwise(F.md5(address)).alias("address")).write.mode("append").partitionBy("address").text(path)
+    """A folder for ``Folder`` of (address, payload): files of about PER_FILE addresses, whatever their number."""
+    rows = payloads.select(F.col("address").cast("string").alias("address"), "payload").filter(F.col("address").isNotNull())
+    of = max(1, -(-rows.count() // PER_FILE))
+    bucket = F.pmod(F.crc32(F.regexp_replace("address", "([0-9]*)[0-9]", "$1").cast("binary")), F.lit(of)).alias("bucket")
+    dealt = rows.select("address", "payload", bucket).repartition(min(of, partitions(payloads.sparkSession)), "bucket")
+    dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/of={of}")

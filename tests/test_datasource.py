@@ -89,3 +89,21 @@ def test_addresses_are_read_alone_or_page_by_page(spark, serve):
     listed = datasource.listing(rows)
     assert {(r.url, r.n_posts, r.text) for r in datasource.joined_posts(listed).collect()} == {("http://h/a?tag=x&per_page=50#top", 2, "one\n\nthree"), ("http://h/b?page=7", 1, "seven")}
     assert sorted((r.url, r.page, r.pos) for r in listed.collect() if r.url.startswith("http://h/a")) == [("http://h/a?tag=x&per_page=50#top", p, i) for p, i in ((1, 0), (1, 1), (2, 0))]
+
+
+def test_payloads_lie_in_files_of_many_addresses(spark, serve, tmp_path):
+    """Files grow with the addresses divided by PER_FILE; what each address gets stays, also of a second write."""
+    many = {i: json.dumps([i]) for i in range(3000)} | {f"http://h/p?page={i}": json.dumps([f"p{i}"]) for i in range(500)} | {f"{i}-1": f'["{i}"]' for i in range(500)}
+    path = serve(many)
+    serve({"1": "[7]", "new": "[8]"})
+    files = [f for f in (tmp_path / "served").rglob("part-*")]
+    assert len(files) <= 2 + len(many) // datasource.PER_FILE + 1
+    folder = datasource.Folder({"path": path})
+    assert all(folder.fetch(str(a)) == p + "\n" for a, p in many.items() if a != 1)
+    assert folder.fetch("1") == "[7]\n[1]\n" and folder.fetch("new") == "[8]\n" and folder.fetch("nobody") is None and folder.last() == 2999 and len(folder.read) <= datasource.KEPT
+
+
+def test_many_ranges_share_tasks(spark, serve, monkeypatch):
+    monkeypatch.setattr(datasource, "MAX_TASKS", 3)
+    grouped = datasource._grouped(datasource._ranges(1, 21, 2))
+    assert len(grouped) <= 3 and [(r.start, r.end) for g in grouped for r in g.parts] == [(a, a + 2) for a in range(1, 21, 2)]
