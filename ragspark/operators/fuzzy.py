@@ -8,6 +8,9 @@ do are compared. Where a pair of lengths is so short that it need not share any
 The similarity asked for falls in steps (``STEPS``), the last being the threshold. A question that has a match at a step is done: every text as
 similar as that has been met, so its best match is among them. Only the others go on to a weaker filter and longer lists.
 
+Where the measure counts edits, texts of up to ``SHORT`` characters are first looked up by what is left of them without 0, 1 and 2 characters, which tells
+more than any token where texts are much alike; a question is done when no text further away can be as similar as what it met.
+
 Keys of the index are a token and a band of lengths. Lists longer than ``LIST`` are split, and questions go to each part.
 Equal texts are one entry, so copies neither lengthen lists nor are scored again.
 
@@ -64,11 +67,15 @@ def sequence_ratio_from(a: Column, b: Column, least: float) -> Column:
     return ratio(a, b)
 
 
+#: Edits that are looked for first, by texts with as many characters left out, and the longest texts for which that is done.
+EDITS, SHORT = 2, 48
+
+
 class Measure(NamedTuple):
     """What a similarity of at least t needs of texts of lengths x and y.
 
     ``size`` of the pair; ``reach``: the shorter length is at least this share of the longer; ``pairs`` and ``singles``: of
-    size, how many pairs of characters, less 1, and how many characters are shared at least.
+    size, how many pairs of characters, less 1, and how many characters are shared at least; ``edits``: whether it counts edits.
     """
 
     score: Callable[[Column, Column, float], Column]
@@ -77,12 +84,13 @@ class Measure(NamedTuple):
     reach: Callable[[float], float]
     pairs: Callable[[float], float]
     singles: Callable[[float], float]
+    edits: bool = False
 
 
 #: 2 * M / (x + y) with M characters in B blocks. Between blocks a character is unmatched, so B <= 1 + x + y - 2 * M, and M - B pairs are shared.
 SEQUENCE = Measure(sequence_ratio_from, lambda x, y: x + y, lambda t: 2 / (2 - t), lambda t: t / (2 - t), lambda t: 1.5 * t - 1, lambda t: t / 2)
 #: 1 - d / max(x, y): each of d edits costs the longer text two pairs or one character at most.
-LEVENSHTEIN = Measure(lambda a, b, t: levenshtein_ratio(a, b), lambda x, y: F.greatest(x, y), lambda t: 1.0, lambda t: t, lambda t: 2 * t - 1, lambda t: t)
+LEVENSHTEIN = Measure(lambda a, b, t: levenshtein_ratio(a, b), lambda x, y: F.greatest(x, y), lambda t: 1.0, lambda t: t, lambda t: 2 * t - 1, lambda t: t, True)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -147,6 +155,28 @@ def candidates(questions: DataFrame, stored: DataFrame, measure: Measure, t: flo
     return met.filter(F.col("c") >= F.col("meet")).select("q", "s")
 
 
+def _left_out(edits: int) -> Column:
+    """Hashes of ``text`` with up to so many characters left out."""
+    def without(t: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(t))
+        return F.when(F.length(t) > 0, F.transform(places, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))
+
+    found = of = F.array(F.col("text"))
+    for _ in range(edits):
+        of = F.array_distinct(F.flatten(F.transform(of, without)))
+        found = F.concat(found, of)
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
+
+
+def _near(questions: DataFrame, stored: DataFrame, edits: int) -> DataFrame:
+    """(q, s): ids of all pairs that are so many edits apart or fewer, and of some others; questions (id, text, n) have SHORT characters at most.
+
+    Such texts are equal after leaving out so many characters of each.
+    """
+    of = lambda rows, name: rows.filter(F.col("n") <= SHORT + edits).select(F.col("id").alias(name), F.explode(_left_out(edits)).alias("h"))
+    return of(questions, "q").join(of(stored, "s"), "h").select("q", "s").distinct()
+
+
 def _log(x: float) -> float:
     import math
 
@@ -164,17 +194,17 @@ def best_match(questions: DataFrame, stored: DataFrame, threshold: float = 0.7,
     asked = materialize(asked.distinct())
     # Ids are written once, so that a lost task cannot deal them anew.
     texts = materialize(asked.select("text", F.lit(True).alias("mine")).unionByName(kept.select("text", F.lit(False).alias("mine"))).groupBy("text").agg(F.bool_or("mine").alias("asked"), F.bool_or(~F.col("mine")).alias("stored")).select(F.monotonically_increasing_id().alias("id"), "*", F.length("text").alias("n")))
-    frequency = texts.filter("stored").select(F.explode(_tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    indexed = materialize(_indexed(texts, frequency))
+    indexed: DataFrame | None = None
     # The two smallest keys of a text: a question has to pass over one at most.
     few = Window.partitionBy("text").orderBy("key")
     keys = kept.withColumn("_n", F.row_number().over(few)).filter("_n <= 2").drop("_n")
     keys = materialize(texts.filter("stored").select("id", "text").join(keys, "text").select(F.col("id").alias("s"), "key"))
-    open_ = materialize(asked.join(texts.select("id", "text"), "text").select("qid", "id"))
+    open_ = materialize(asked.join(texts.select("id", "text", "n"), "text").select("qid", "id", "n"))
     found, done = [], [kept, asked]
-    for t in [s for s in steps if s > threshold] + [threshold]:
-        mine = indexed.join(open_.select("id").distinct(), "id", "left_semi")
-        pairs = candidates(mine.filter("asked"), indexed.filter("stored"), measure, t - _SLACK, longest)
+
+    def step(pairs: DataFrame, t: float, settled: Column | None) -> None:
+        """Take the best of the pairs that reach t; only questions for which that settles it are done."""
+        nonlocal open_
         pairs = pairs.join(texts.select(F.col("id").alias("q"), F.col("text").alias("a")), "q").join(texts.select(F.col("id").alias("s"), F.col("text").alias("b")), "s")
         scored = pairs.select("q", "s", F.round(measure.score(F.col("a"), F.col("b"), t - _SLACK), DIGITS).alias("ratio")).filter(F.col("ratio") >= t)
         best = scored.join(keys, "s").groupBy("q", "key").agg(F.max("ratio").alias("ratio"))
@@ -183,14 +213,35 @@ def best_match(questions: DataFrame, stored: DataFrame, threshold: float = 0.7,
         own = Window.partitionBy("qid").orderBy(F.desc("ratio"), "key")
         met = open_.join(best, open_["id"] == best["q"])
         met = met.filter(F.col("key") != F.col("qid")) if others_only else met
+        met = met if settled is None else met.filter(settled)
         now = materialize(met.withColumn("_n", F.row_number().over(own)).filter("_n = 1").select("qid", "key", "ratio"))
         found.append(now)
         left = materialize(open_.join(now.select("qid"), "qid", "left_anti"))
         done.append(open_)
         open_ = left
+
+    n = F.col("n")
+    for edits in range(EDITS + 1) if measure.edits else []:
+        # Texts of n characters with so many edits are nearer than any with one more, whatever the longer text's length, if d * (d + 1) < n.
+        mine = texts.join(open_.select("id").distinct(), "id", "left_semi").filter((n > edits * (edits + 1)) & (n <= SHORT))
+        pairs = _near(mine, texts.filter("stored"), edits) if edits else mine.filter("stored").select(F.col("id").alias("q"), F.col("id").alias("s"))
+        step(pairs, threshold, F.round(F.lit(1.0) - F.lit(float(edits)) / n, DIGITS) <= F.col("ratio"))
         if open_.isEmpty():
             break
-    discard(*done, open_, keys, indexed, texts)
+    # A question of this many characters is now known to have no text within EDITS.
+    near = (n > EDITS * (EDITS + 1)) & (n <= SHORT) if measure.edits else F.lit(False)
+    for t in [s for s in steps if s > threshold] + [threshold]:
+        if found and open_.isEmpty():
+            break
+        may = texts.join(open_.select("id").distinct(), "id", "left_semi").filter("asked").filter(~(near & (1 - F.lit(EDITS + 1.0) / (n + EDITS + 1) < t - _SLACK)))
+        if found and may.isEmpty():
+            continue
+        if indexed is None:
+            frequency = texts.filter("stored").select(F.explode(_tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+            indexed = materialize(_indexed(texts, frequency))
+            done.append(indexed)
+        step(candidates(indexed.join(may.select("id"), "id", "left_semi"), indexed.filter("stored"), measure, t - _SLACK, longest), t, None)
+    discard(*done, open_, keys, texts)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

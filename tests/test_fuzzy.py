@@ -73,6 +73,25 @@ def test_texts_of_one_length_do_not_all_meet(spark):
     assert len(pairs) < 0.05 * len(rows) ** 2 and all((i, i - 1) in pairs and (i - 1, i) in pairs for i in range(1, 2000, 100))
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_texts_much_alike(spark, threshold):
+    """Names of few words and numbers, where tokens tell little: texts of few edits are found without the index of tokens."""
+    r = random.Random(7)
+    rows = [(i, f"{r.choice(['hot', 'old', 'blue'])} {r.choice(['bolt', 'ring'])} Brand#{r.randint(1, 12)} {r.randint(1, 40)}") for i in range(150)] + [(150 + i, t) for i, t in enumerate(["a", "ab", "abc", "b", "x" * 47, "x" * 48, "x" * 49, "x" * 50, "hot bolt"])]
+    rows += [(200, None), (201, "")]
+    q, s = spark.createDataFrame(rows, "qid long, question string"), spark.createDataFrame(rows, "key long, stored_question string")
+    got = {(x.qid, x.key, x.ratio) for x in fuzzy.best_match(q, s, threshold, fuzzy.LEVENSHTEIN, others_only=True).collect()}
+    assert got == brute(rows, rows, RATIOS[fuzzy.LEVENSHTEIN], threshold, True)
+
+
+def test_numbered_names_need_no_tokens(spark, monkeypatch):
+    """Names that differ in a digit are settled by one edit; most tokens are in all of them, so their index is not made."""
+    monkeypatch.setattr(fuzzy, "_indexed", lambda *_: pytest.fail("index of tokens made"))
+    names = spark.range(3000).selectExpr("id as qid", "concat('Supplier#', lpad(id, 9, '0')) as question")
+    got = fuzzy.best_match(names, names.toDF("key", "stored_question"), 0.7, fuzzy.LEVENSHTEIN, others_only=True).collect()
+    assert len(got) == 3000 and all(x.ratio == round(1 - 1 / 18, 6) for x in got)
+
+
 def test_empty(spark):
     q, s = spark.createDataFrame([], "qid long, question string"), spark.createDataFrame([(1, "a")], "key long, stored_question string")
     assert fuzzy.best_match(q, s).count() == 0 and fuzzy.best_match(s.toDF("qid", "question"), q.toDF("key", "stored_question")).count() == 0
