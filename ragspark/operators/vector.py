@@ -71,7 +71,8 @@ def _in_blocks(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n_query = -(-queries.count() // QUERY_BLOCK)
 
     def dealt(rows: DataFrame, id_: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(id_, "embedding"), F.lit(n)).alias(own)
+        # Of the same type as the other side's numbers: a long and an int of one value are dealt to different partitions.
+        block = F.pmod(F.xxhash64(id_, "embedding"), F.lit(n)).cast("int").alias(own)
         return rows.select(id_, "embedding", F.size("embedding").alias("dim"), block, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("dim", "s", "q")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -34,3 +34,19 @@ def test_batch_top_k_of_empty_sides(spark, most):
     one = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert vector.batch_top_k(one, none.withColumnRenamed("vec_id", "qid"), 5, most).count() == 0
     assert vector.batch_top_k(none, one.withColumnRenamed("vec_id", "qid"), 5, most).count() == 0
+
+
+def test_blocks_meet_in_many_partitions(spark, monkeypatch):
+    """Both sides of a pair of blocks reach one task also where small partitions are not put together."""
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "STORE_BLOCK", 10)
+    rng = np.random.default_rng(6)
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 4)))], "vec_id long, embedding array<float>")
+    queries = store.filter("vec_id < 30").withColumnRenamed("vec_id", "qid")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in vector.batch_top_k(store, queries, 5, 3).select("qid", "rank", "vec_id", "score").collect()}
+        want = {tuple(r) for r in vector.batch_top_k(store, queries, 5, 100).select("qid", "rank", "vec_id", "score").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 150 and got == want
