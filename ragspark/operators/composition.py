@@ -34,6 +34,13 @@ def split_by_profile(body: pd.Series, profile: pd.Series) -> pd.Series:
     return pd.Series([text.split_text(t, *text.PROFILES[p]) if t and p in text.PROFILES else [] for t, p in zip(body, profile, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_pages_by_profile(page: pd.Series, profile: pd.Series) -> pd.Series:
+    """The same of HTML, whose text is taken in the same pass: as a step of its own it keeps another Python process for each task."""
+    bodies = ((text.html_text(h), p) for h, p in zip(page, profile, strict=True))
+    return pd.Series([text.split_text(t, *text.PROFILES[p]) if t and p in text.PROFILES else [] for t, p in bodies])
+
+
 def remote_profile(file_type: Column) -> Column:
     return text.profile_of(F.lower(file_type))
 
@@ -42,10 +49,14 @@ def directory_profile(file_type: Column) -> Column:
     return _case(F.lower(file_type), DIRECTORY_PROFILES, "remote")
 
 
-def chunk_by_profile(docs: DataFrame, profile: Column, body: str = "text") -> DataFrame:
-    """Every row of ``docs`` cut by its own profile: its other columns, chunk_index (from 0 in each row), total_chunks and the chunk as ``body``."""
+def chunk_by_profile(docs: DataFrame, profile: Column, body: str = "text", html: bool = False) -> DataFrame:
+    """Every row of ``docs`` cut by its own profile: its other columns, chunk_index (from 0 in each row), total_chunks and the chunk as ``body``.
+
+    With ``html``, ``body`` is a page whose text is cut.
+    """
     rest = [c for c in docs.columns if c != body]
-    rows = docs.select(*rest, split_by_profile(body, profile).alias("_chunks"))
+    split = split_pages_by_profile if html else split_by_profile
+    rows = docs.select(*rest, split(body, profile).alias("_chunks"))
     # Outer: for the inner form Spark infers a filter on the number of chunks, for which every text is split a second time.
     rows = rows.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", body))
     return rows.filter(F.col("chunk_index").isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store, text
+from . import store
 from .composition import chunk_by_profile
 
 EMPTY_METADATA = "{}"
@@ -26,11 +26,10 @@ def page_address(url: Column, page: Column, per_page: int) -> Column:
 
 
 def web_documents(posts: DataFrame, fetch_config: str, source: str = "blog") -> DataFrame:
-    """Chunks of posts (id, item: JSON with content.rendered), each post cleaned and cut by itself and stamped."""
-    body = F.get_json_object("item", "$.content.rendered")
-    rows = posts.select("id", text.to_text(body).alias("text")).filter(F.length("text") > 0)
+    """Chunks of posts (id, item: JSON with content.rendered), each post cleaned and cut by itself and stamped; posts without text give none."""
+    rows = posts.select("id", F.get_json_object("item", "$.content.rendered").alias("text"))
     stamps = {"source_type": "web", "source": source, "fetch_config": fetch_config}
-    return chunk_by_profile(rows, F.lit("web")).withColumns({k: F.lit(v) for k, v in stamps.items()})
+    return chunk_by_profile(rows, F.lit("web"), html=True).withColumns({k: F.lit(v) for k, v in stamps.items()})
 
 
 def embed_rows(docs: DataFrame, embed, dim: int, model: str) -> DataFrame:

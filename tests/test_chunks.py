@@ -1,12 +1,13 @@
 """Chunking: cuts found by search against pieces put together one by one, and every text cut or parsed once."""
 
+import json
 import random
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
-from ragspark.operators import composition, text
+from ragspark.operators import composition, rebuild, text
 from ragspark.plans import QUERIES
 
 
@@ -67,3 +68,14 @@ def test_first_words(spark, body, want):
 @pytest.mark.parametrize("name", ["chunk_again", "chunk_file_metadata"])
 def test_few_bytes_that_make_long_texts_are_dealt_out(spark, name):
     assert "Repartition" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_post_is_cleaned_and_cut_in_one_pass(spark):
+    page = "<h1>T</h1><script>x</script><p>" + "a b " * 900 + "</p>"
+    bodies = {1: page, 2: "<p> </p>", 3: None, 4: ""}
+    posts = spark.createDataFrame([(i, json.dumps({"content": {"rendered": b}})) for i, b in bodies.items()] + [(5, None), (6, "{}")], "id long, item string")
+    made = rebuild.web_documents(posts, "all")
+    assert passes(made) == 1
+    got = sorted((r.id, r.chunk_index, r.total_chunks, r.text) for r in made.collect())
+    want = text.split_text(text.html_text(page), *text.PROFILES["web"])
+    assert len(want) > 2 and got == [(1, i, len(want), t) for i, t in enumerate(want)]
