@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from compare import differs
 
 from ragspark.operators import vector
+from ragspark.plans import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("most", [100, 3])
@@ -50,3 +52,16 @@ def test_blocks_meet_in_many_partitions(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 150 and got == want
+
+
+@pytest.mark.parametrize("name", ["ret_plain_context", "vec_hits_by_source", "vec_topk_batch", "ret_cited_context", "ret_debug_preview"])
+def test_queries_in_blocks_equal_their_sql(spark, monkeypatch, name):
+    """What over MAX_QUERIES queries take at 1 GB, forced on a small table: blocks, and partitions that are not put together."""
+    for of, n in {"MAX_QUERIES": 5, "QUERY_BLOCK": 7, "STORE_BLOCK": 40, "STRIP": 16}.items():
+        monkeypatch.setattr(vector, of, n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        x = differs(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLE_SQL[name], "/root/testdata/sf0.01")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert x is None, x[:600]
