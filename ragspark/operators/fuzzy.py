@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragspark.tables import discard, materialize
+from ragspark.tables import discard, materialize, partitions
 
 STEPS = (0.95, 0.9, 0.8)
 #: Shared rare tokens that make a pair a candidate, or as many as it has to share, if fewer.
@@ -69,6 +69,8 @@ def sequence_ratio_from(a: Column, b: Column, least: float) -> Column:
 
 #: Edits that are looked for first, by texts with as many characters left out, and the longest texts for which that is done.
 EDITS, SHORT = 2, 48
+#: Hashes of such texts that a task makes, unless there are more than all tasks' share.
+TASK = 200_000
 
 
 class Measure(NamedTuple):
@@ -108,12 +110,17 @@ def _tokens(texts: pd.Series) -> pd.Series:
     return texts.map(of)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """For joins by a shuffle. Spark goes by the size of the compressed file, without what arrays add, and would send millions of rows through the driver."""
+    return rows.hint("merge")
+
+
 def _indexed(texts: DataFrame, frequency: DataFrame) -> DataFrame:
     """(id, text, n, kind, tokens): the tokens of each kind, those of the fewest stored texts first."""
     each = texts.select("id", F.explode(_tokens("text")).alias("token")).join(frequency, "token", "left")
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
     sets = each.groupBy("id", F.substring("token", 1, 1).alias("kind")).agg(F.transform(ranked, lambda x: x["token"]).alias("tokens"))
-    return texts.join(sets, "id")
+    return texts.join(_dealt(sets), "id")
 
 
 def _short(measure: Measure, t: float) -> float:
@@ -151,30 +158,42 @@ def candidates(questions: DataFrame, stored: DataFrame, measure: Measure, t: flo
     # A pair meets by tokens of one kind only.
     kinds = (F.col("x.kind") == "2") | (F.least("x.n", "y.n") <= F.lit(short))
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & lengths & kinds & (most >= need - 1e-9)
-    met = x.join(y, on).groupBy(F.col("x.id").alias("q"), F.col("y.id").alias("s")).agg(F.count(F.lit(1)).alias("c"), F.max(F.least("x.meet", "y.meet")).alias("meet"))
+    met = x.join(_dealt(y), on).groupBy(F.col("x.id").alias("q"), F.col("y.id").alias("s")).agg(F.count(F.lit(1)).alias("c"), F.max(F.least("x.meet", "y.meet")).alias("meet"))
     return met.filter(F.col("c") >= F.col("meet")).select("q", "s")
 
 
-def _left_out(edits: int) -> Column:
-    """Hashes of ``text`` with up to so many characters left out."""
-    def without(t: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(t))
-        return F.when(F.length(t) > 0, F.transform(places, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))
+def _left_out(texts: DataFrame, edits: int) -> DataFrame:
+    """(id, h): hashes of the texts with up to so many characters left out, from left to right.
 
-    found = of = F.array(F.col("text"))
+    Of equal neighbours the first is left out. So the same is hardly left twice, and nothing is lost: what is left of a text can be taken from
+    its rightmost places, and then no character that is left out equals the one before it.
+    """
+    rows = texts.select("id", F.col("text").alias("t"), F.lit(1).alias("at"))
+    length, i = F.length("t"), F.col("i")
     for _ in range(edits):
-        of = F.array_distinct(F.flatten(F.transform(of, without)))
-        found = F.concat(found, of)
-    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
+        # Place 0 leaves the text as it is, and nothing more is left out.
+        places = F.when(F.col("at") <= length, F.sequence("at", length)).otherwise(F.array().cast("array<int>"))
+        rows = rows.select("id", "t", F.explode(F.concat(F.array(F.lit(0)), places)).alias("i"))
+        rows = rows.filter((i < 2) | (F.substring("t", i, F.lit(1)) != F.substring("t", i - 1, F.lit(1))))
+        left = F.when(i > 0, F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, length))).otherwise(F.col("t"))
+        rows = rows.select("id", left.alias("t"), F.when(i > 0, i).otherwise(length + 1).alias("at"))
+    return rows.select("id", F.xxhash64("t").alias("h"))
 
 
 def _near(questions: DataFrame, stored: DataFrame, edits: int) -> DataFrame:
-    """(q, s): ids of all pairs that are so many edits apart or fewer, and of some others; questions (id, text, n) have SHORT characters at most.
+    """(q, s): ids of all pairs of different texts that are so many edits apart or fewer, and of some others; questions (id, text, n) have SHORT characters at most.
 
-    Such texts are equal after leaving out so many characters of each.
+    Such texts are equal after leaving out so many characters of each. A text has hundreds of hashes, which Spark does not foresee:
+    texts are dealt out by their number, as a small table is one task's, and hashes meet by a shuffle, not in the driver.
     """
-    of = lambda rows, name: rows.filter(F.col("n") <= SHORT + edits).select(F.col("id").alias(name), F.explode(_left_out(edits)).alias("h"))
-    return of(questions, "q").join(of(stored, "s"), "h").select("q", "s").distinct()
+
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.filter(F.col("n") <= SHORT + edits).select("id", "text", "n")
+        hashes = rows.agg(F.coalesce(F.sum(F.pow(F.col("n") + 1, F.lit(edits)) / edits), F.lit(0))).first()[0]
+        dealt = rows.repartition(max(1, min(partitions(rows.sparkSession), round(hashes / TASK))))
+        return _left_out(dealt, edits).select(F.col("id").alias(name), "h")
+
+    return of(questions, "q").join(_dealt(of(stored, "s")), "h").filter(F.col("q") != F.col("s")).select("q", "s").distinct()
 
 
 def _log(x: float) -> float:
@@ -198,32 +217,32 @@ def best_match(questions: DataFrame, stored: DataFrame, threshold: float = 0.7,
     # The two smallest keys of a text: a question has to pass over one at most.
     few = Window.partitionBy("text").orderBy("key")
     keys = kept.withColumn("_n", F.row_number().over(few)).filter("_n <= 2").drop("_n")
-    keys = materialize(texts.filter("stored").select("id", "text").join(keys, "text").select(F.col("id").alias("s"), "key"))
-    open_ = materialize(asked.join(texts.select("id", "text", "n"), "text").select("qid", "id", "n"))
+    keys = materialize(texts.filter("stored").select("id", "text").join(_dealt(keys), "text").select(F.col("id").alias("s"), "key"))
+    open_ = materialize(asked.join(_dealt(texts.select("id", "text", "n")), "text").select("qid", "id", "n"))
     found, done = [], [kept, asked]
 
     def step(pairs: DataFrame, t: float, settled: Column | None) -> None:
         """Take the best of the pairs that reach t; only questions for which that settles it are done."""
         nonlocal open_
-        pairs = pairs.join(texts.select(F.col("id").alias("q"), F.col("text").alias("a")), "q").join(texts.select(F.col("id").alias("s"), F.col("text").alias("b")), "s")
+        pairs = pairs.join(_dealt(texts.select(F.col("id").alias("q"), F.col("text").alias("a"))), "q").join(_dealt(texts.select(F.col("id").alias("s"), F.col("text").alias("b"))), "s")
         scored = pairs.select("q", "s", F.round(measure.score(F.col("a"), F.col("b"), t - _SLACK), DIGITS).alias("ratio")).filter(F.col("ratio") >= t)
-        best = scored.join(keys, "s").groupBy("q", "key").agg(F.max("ratio").alias("ratio"))
+        best = scored.join(_dealt(keys), "s").groupBy("q", "key").agg(F.max("ratio").alias("ratio"))
         first = Window.partitionBy("q").orderBy(F.desc("ratio"), "key")
         best = best.withColumn("_n", F.row_number().over(first)).filter("_n <= 2").drop("_n")
         own = Window.partitionBy("qid").orderBy(F.desc("ratio"), "key")
-        met = open_.join(best, open_["id"] == best["q"])
+        met = open_.join(_dealt(best), F.col("id") == F.col("q"))
         met = met.filter(F.col("key") != F.col("qid")) if others_only else met
         met = met if settled is None else met.filter(settled)
         now = materialize(met.withColumn("_n", F.row_number().over(own)).filter("_n = 1").select("qid", "key", "ratio"))
         found.append(now)
-        left = materialize(open_.join(now.select("qid"), "qid", "left_anti"))
+        left = materialize(open_.join(_dealt(now.select("qid")), "qid", "left_anti"))
         done.append(open_)
         open_ = left
 
     n = F.col("n")
     for edits in range(EDITS + 1) if measure.edits else []:
         # Texts of n characters with so many edits are nearer than any with one more, whatever the longer text's length, if d * (d + 1) < n.
-        mine = texts.join(open_.select("id").distinct(), "id", "left_semi").filter((n > edits * (edits + 1)) & (n <= SHORT))
+        mine = texts.join(_dealt(open_.select("id").distinct()), "id", "left_semi").filter((n > edits * (edits + 1)) & (n <= SHORT))
         pairs = _near(mine, texts.filter("stored"), edits) if edits else mine.filter("stored").select(F.col("id").alias("q"), F.col("id").alias("s"))
         step(pairs, threshold, F.round(F.lit(1.0) - F.lit(float(edits)) / n, DIGITS) <= F.col("ratio"))
         if open_.isEmpty():
@@ -233,14 +252,14 @@ def best_match(questions: DataFrame, stored: DataFrame, threshold: float = 0.7,
     for t in [s for s in steps if s > threshold] + [threshold]:
         if found and open_.isEmpty():
             break
-        may = texts.join(open_.select("id").distinct(), "id", "left_semi").filter("asked").filter(~(near & (1 - F.lit(EDITS + 1.0) / (n + EDITS + 1) < t - _SLACK)))
+        may = texts.join(_dealt(open_.select("id").distinct()), "id", "left_semi").filter("asked").filter(~(near & (1 - F.lit(EDITS + 1.0) / (n + EDITS + 1) < t - _SLACK)))
         if found and may.isEmpty():
             continue
         if indexed is None:
             frequency = texts.filter("stored").select(F.explode(_tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
             indexed = materialize(_indexed(texts, frequency))
             done.append(indexed)
-        step(candidates(indexed.join(may.select("id"), "id", "left_semi"), indexed.filter("stored"), measure, t - _SLACK, longest), t, None)
+        step(candidates(indexed.join(_dealt(may.select("id")), "id", "left_semi"), indexed.filter("stored"), measure, t - _SLACK, longest), t, None)
     discard(*done, open_, keys, texts)
     out = found[0]
     for more in found[1:]:

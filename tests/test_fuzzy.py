@@ -104,3 +104,29 @@ def test_query_against_all_pairs(spark):
     items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
     got = {(r.qid, r.key, r.ratio) for r in QUERIES["join_fuzzy_ratio"](spark, "/root/testdata/sf0.01").collect()}
     assert got == brute(items, items, RATIOS[fuzzy.SEQUENCE], 0.3, True)
+
+
+@pytest.mark.parametrize("apart", [1, 2])
+def test_near_pairs(spark, apart):
+    """Every pair of different texts within so many edits is found once, texts with runs of equal characters included."""
+    r = random.Random(11)
+    rows = sorted({"", "a", "aa", "aaaa", "a" * fuzzy.SHORT, "a" * (fuzzy.SHORT + apart), *("".join(r.choices("abé", k=r.randint(1, 9))) for _ in range(150))})
+    table = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(rows)], "id long, text string, n int")
+    got = [tuple(x) for x in fuzzy._near(table.filter(table["n"] <= fuzzy.SHORT), table, apart).collect()]
+    wanted = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and len(a) <= fuzzy.SHORT and edits(a, b) <= apart}
+    assert len(got) == len(set(got)) and wanted <= set(got) and all(q != s for q, s in got)
+
+
+def test_texts_do_not_pass_through_the_driver(spark):
+    """What is left of texts is far more than their file, by whose size Spark chooses broadcasts; none of more than 24 MB is made (Spark takes 16 for the smallest by text)."""
+    r = random.Random(13)
+    rows = [(i, f"{r.choice(['hot', 'old', 'blue'])} {r.choice(['bolt', 'ring'])} Brand#{r.randint(1, 99)} {r.randint(1, 99)}") for i in range(3000)] + [(3000, "quite another text"), (3001, "yet quite another text")]
+    names = spark.createDataFrame(rows, "qid long, question string")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "24m")
+    try:
+        got = {x.qid: x.ratio for x in fuzzy.best_match(names, names.toDF("key", "stored_question"), 0.8, fuzzy.LEVENSHTEIN, others_only=True).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert got[3001] == round(1 - 4 / 22, 6) and got[3000] == got[3001] and got.keys() >= set(range(3000))
